@@ -4,12 +4,14 @@ Base measures are counted over the whole text. The verdict compares two
 histograms of a document with references of its language by Jensen-Shannon
 distance (base 2, so 0 to 1):
 
-* character classes (lower, upper, other letters, digits, white space, sentence
-  marks, other marks, symbols), and
+* character classes (small letters and digits, capitals, other scripts' letters, white
+  space, sentence marks, other marks, symbols), and
 * common words: shares of the language's most frequent words, all other words in
   one further bin.
 
-References are grouped aggregates over all documents of a language. Languages
+References are grouped aggregates over all documents of a language: for the classes
+the median over documents of each class's share (a minority of junk moves it little),
+for words the summed counts. Languages
 beyond `max_languages` (by number of documents), with fewer than
 `min_reference_docs` documents, or null, share one pooled reference, so the
 broadcast is bounded by (max_languages + 1) * (classes + common words).
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import as_bytes, as_texts, map_arrow
@@ -48,33 +50,33 @@ class QualityParams:
     min_reference_docs: int = 20
     min_chars: int = 120
     min_judged_words: int = 20
-    max_class_distance: float = 0.35
-    max_word_distance: float = 0.75
+    max_class_distance: float = 0.17
+    max_word_distance: float = 0.65
 
 
 def _class_table() -> np.ndarray:
-    """Class of each byte of UTF-8 text. Lead bytes of other scripts' letters count once, continuation bytes not at all (class 8)."""
-    table = np.full(256, 6, np.int64)
+    """Class of each byte of UTF-8 text. Lead bytes of other scripts' letters count once, continuation bytes not at all (class 7)."""
+    table = np.full(256, 5, np.int64)
     table[ord("a") : ord("z") + 1] = 0
+    table[ord("0") : ord("9") + 1] = 0
     table[ord("A") : ord("Z") + 1] = 1
     table[0xC2:] = 2
-    table[ord("0") : ord("9") + 1] = 3
-    table[list(_WHITE)] = 4
-    table[list(b".,;:?'\"-()")] = 5
-    table[list(_SYMBOL_BYTES)] = 7
-    table[0x80:0xC0] = 8
+    table[list(_WHITE)] = 3
+    table[list(b".,;:?'\"-()")] = 4
+    table[list(_SYMBOL_BYTES)] = 6
+    table[0x80:0xC0] = 7
     return table
 
 
-CLASSES = 8
+CLASSES = 7
 _CLASS = _class_table()
 _PAD = re.compile(rb"^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$")
 
 
 def class_histogram(data: bytes) -> np.ndarray:
-    """Counts of the eight character classes."""
+    """Counts of the character classes."""
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    return np.bincount(_CLASS, weights=counts, minlength=9)[:CLASSES]
+    return np.bincount(_CLASS, weights=counts, minlength=CLASSES + 1)[:CLASSES]
 
 
 def word_forms(words: list[bytes]) -> Counter:
@@ -142,54 +144,64 @@ def references(docs: DataFrame, params: QualityParams) -> dict[str | None, tuple
     langs = [r[0] for r in docs.where("lang is not null").groupBy("lang").count().where(F.col("count") >= params.min_reference_docs).orderBy(F.desc("count"), "lang").limit(params.max_languages).collect()]
     known = set(langs)
 
+    def key_of(lang):
+        return lang if lang in known else ""
+
+    def shares(batches):
+        for b in batches:
+            keys, rows = [], []
+            for lang, data in zip(as_texts(b.column("lang")), as_bytes(b.column("text")), strict=True):
+                if len(data) >= params.min_chars:
+                    h = class_histogram(data)
+                    keys.append(key_of(lang))
+                    rows.append(h / h.sum())
+            cols = np.array(rows).reshape(-1, CLASSES)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(cols[:, i]) for i in range(CLASSES))], ["key", *(f"c{i}" for i in range(CLASSES))])
+
     def count(batches):
         for b in batches:
-            classes: dict = {}
             words: dict = {}
             for lang, data in zip(as_texts(b.column("lang")), as_bytes(b.column("text")), strict=True):
-                key = lang if lang in known else ""
-                classes[key] = classes.get(key, 0) + class_histogram(data)
-                words.setdefault(key, Counter()).update(word_forms(data.split()))
-            rows = [(k, i, b"", int(v)) for k, c in classes.items() for i, v in enumerate(c)]
-            rows += [(k, -1, w, n) for k, c in words.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.int64()))], ["key", "class", "word", "n"])
-
-    counted = map_arrow(docs.select("lang", "text"), count, "key string, class int, word binary, n bigint").groupBy("key", "class", "word").agg(F.sum("n").alias("n"))
-    is_class = F.col("class") >= 0
-    # top words per language: partial top-k per salt first, so that no window holds a language's vocabulary
-    salted = counted.where(~is_class).withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64)))
-    from pyspark.sql import Window
-
+                words.setdefault(key_of(lang), Counter()).update(word_forms(data.split()))
+            rows = [(k, w, n) for k, c in words.items() for w, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["key", "word", "n"])
+
+    d = docs.select("lang", "text")
+    medians = [F.percentile_approx(f"c{i}", 0.5, 1000).alias(f"c{i}") for i in range(CLASSES)]
+    sampled = map_arrow(d, shares, "key string, " + ", ".join(f"c{i} double" for i in range(CLASSES)))
+    per_key = {r["key"]: r for r in sampled.groupBy("key").agg(*medians).collect()}  # a row per language
+    pooled = sampled.agg(*medians).first()
+
+    counted = map_arrow(d, count, "key string, word binary, n bigint").groupBy("key", "word").agg(F.sum("n").alias("n"))
+    # top words per language: per salt first, so that no window holds a language's vocabulary
     order = [F.desc("n"), F.asc("word")]
-    part = salted.withColumn("r", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("r") <= params.common_words)
-    top = part.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("r") <= params.common_words).select("key", "class", "word", "n")
-    totals = counted.where(~is_class).groupBy("key").agg(F.sum("n").alias("n")).select("key", F.lit(-2).alias("class"), F.lit(None).cast("binary").alias("word"), "n")
-    rows = counted.where(is_class).select("key", "class", "word", "n").unionByName(top).unionByName(totals).collect()  # bounded: languages * (classes + common words + 1)
+    top = counted.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64)))
+    total = F.sum("n").over(Window.partitionBy("key", "salt"))
+    top = top.withColumn("salt_total", total)
+    for by in (["key", "salt"], ["key"]):
+        top = top.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= params.common_words)
+        if len(by) == 2:
+            top = top.withColumn("key_total", F.sum(F.when(F.col("r") == 1, F.col("salt_total"))).over(Window.partitionBy("key")))
+    rows = top.select("key", "word", "n", "key_total").collect()  # bounded: languages * common words
 
     refs: dict = {}
-    pooled_classes, pooled_words, pooled_total = np.zeros(CLASSES), Counter(), 0
+    pooled_words, pooled_total = Counter(), 0
     for key in [*langs, ""]:
         own = [r for r in rows if r["key"] == key]
-        classes = np.zeros(CLASSES)
-        words = {}
-        total = 0
-        for r in own:
-            if r["word"] is None:
-                total = r["n"]
-            elif r["class"] >= 0:
-                classes[r["class"]] = r["n"]
-            else:
-                words[bytes(r["word"])] = r["n"]
-        pooled_classes += classes
+        words = {bytes(r["word"]): r["n"] for r in own}
+        total_words = own[0]["key_total"] if own else 0
         pooled_words.update(words)
-        pooled_total += total
+        pooled_total += total_words
         if key:
-            refs[key] = _reference(classes, words, total)
-    top_pooled = dict(sorted(pooled_words.items(), key=lambda x: (-x[1], x[0]))[: params.common_words])
-    refs[None] = _reference(pooled_classes, top_pooled, pooled_total)
+            refs[key] = _reference(_shares(per_key.get(key)), words, total_words)
+    refs[None] = _reference(_shares(pooled), dict(sorted(pooled_words.items(), key=lambda x: (-x[1], x[0]))[: params.common_words]), pooled_total)
     return refs
 
 
+def _shares(row) -> np.ndarray:
+    return np.array([(row[f"c{i}"] or 0.0) if row is not None else 0.0 for i in range(CLASSES)])
+
+
 def _reference(classes: np.ndarray, words: dict[bytes, int], total: int):
     names = sorted(words, key=lambda w: (-words[w], w))
     hist = np.array([words[w] for w in names] + [total - sum(words.values())], float)
