@@ -446,9 +446,10 @@ def test_quality(spark, docs, texts):
 
 def test_quality_verdict_follows_labels(spark, sf):
     d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
-    r = quality.quality_report(d).join(lab, "doc_id").groupBy("quality", "kept").count().collect()
+    r = quality.quality_report(d).join(lab, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
     n = {(x.quality, x.kept): x["count"] for x in r}
-    assert n.get((1, True), 0) >= 0.97 * (n.get((1, True), 0) + n.get((1, False), 0))
+    assert n[1, True] >= 0.97 * (n[1, True] + n.get((1, False), 0))
+    assert n.get((0, True), 0) <= 0.1 * (n.get((0, True), 0) + n[0, False])
 
 
 def test_js_distance():

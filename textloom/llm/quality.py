@@ -13,8 +13,9 @@ References are grouped aggregates over all documents of a language: for the clas
 the median over documents of each class's share (a minority of junk moves it little),
 for words the summed counts. Languages
 beyond `max_languages` (by number of documents), with fewer than
-`min_reference_docs` documents, or null, share one pooled reference, so the
-broadcast is bounded by (max_languages + 1) * (classes + common words).
+`min_reference_docs` documents, or null, have none of their own; their documents are
+held against the nearest of all references, one pooled over such documents included. So
+the broadcast is bounded by (max_languages + 1) * (classes + common words).
 
 Edge cases. Null or empty text: no words, base_failed (fewer than `min_words`),
 kept false. A text shorter than `min_chars` or `min_judged_words` isn't judged by
@@ -170,7 +171,6 @@ def references(docs: DataFrame, params: QualityParams) -> dict[str | None, tuple
     medians = [F.percentile_approx(f"c{i}", 0.5, 1000).alias(f"c{i}") for i in range(CLASSES)]
     sampled = map_arrow(d, shares, "key string, " + ", ".join(f"c{i} double" for i in range(CLASSES)))
     per_key = {r["key"]: r for r in sampled.groupBy("key").agg(*medians).collect()}  # a row per language
-    pooled = sampled.agg(*medians).first()
 
     counted = map_arrow(d, count, "key string, word binary, n bigint").groupBy("key", "word").agg(F.sum("n").alias("n"))
     # top words per language: per salt first, so that no window holds a language's vocabulary
@@ -190,11 +190,12 @@ def references(docs: DataFrame, params: QualityParams) -> dict[str | None, tuple
         own = [r for r in rows if r["key"] == key]
         words = {bytes(r["word"]): r["n"] for r in own}
         total_words = own[0]["key_total"] if own else 0
-        pooled_words.update(words)
-        pooled_total += total_words
         if key:
             refs[key] = _reference(_shares(per_key.get(key)), words, total_words)
-    refs[None] = _reference(_shares(pooled), dict(sorted(pooled_words.items(), key=lambda x: (-x[1], x[0]))[: params.common_words]), pooled_total)
+        else:
+            pooled_words, pooled_total = Counter(words), total_words
+    if "" in per_key:
+        refs[None] = _reference(_shares(per_key.get("")), dict(sorted(pooled_words.items(), key=lambda x: (-x[1], x[0]))[: params.common_words]), pooled_total)
     return refs
 
 
@@ -212,14 +213,17 @@ def judge(data: bytes, lang: str | None, refs: dict, params: QualityParams) -> t
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance."""
     n, chars, symbols, dup, repeat, words = measures(data, params.window)
     failed = n < params.min_words or 100 * repeat > params.max_repeat_percent * n
-    classes, index, hist = refs.get(lang, refs[None])
     class_d = word_d = None
     if n >= params.min_judged_words and len(data) >= params.min_chars:
-        class_d = js_distance(class_histogram(data), classes)
-        own = np.zeros(len(hist))
-        for w, k in word_forms(words).items():
-            own[index.get(w, len(index))] += k
-        word_d = js_distance(own, hist)
+        forms, shares = word_forms(words), class_histogram(data)
+        found = []
+        for classes, index, hist in [refs[lang]] if lang in refs and lang is not None else refs.values():
+            own = np.zeros(len(hist))
+            for w, k in forms.items():
+                own[index.get(w, len(index))] += k
+            found.append((js_distance(shares, classes), js_distance(own, hist)))
+        if found:
+            class_d, word_d = min(found, key=lambda d: d[0] / params.max_class_distance + d[1] / params.max_word_distance)
     kept = not failed and not (class_d is not None and (class_d > params.max_class_distance or word_d > params.max_word_distance))
     return n, chars, symbols, dup, repeat, failed, kept, class_d, word_d
 
