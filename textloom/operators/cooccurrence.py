@@ -53,7 +53,8 @@ def pmi_pairs(docs: DataFrame, terms: DataFrame, size: int = 10, min_joint: int
     p = F.col("joint") / total
     pmi = F.log2(p / ((F.col("f1") / total) * (F.col("f2") / total)))
     j = j.withColumn("total", F.lit(total).cast("bigint")).withColumn("pmi", pmi)
-    npmi = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("pmi"), F.nullif(-F.log2(p), F.lit(0.0)))))
+    # greatest() and least() skip nulls, so the undefined case is set apart
+    npmi = F.when(p < 1, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("pmi") / -F.log2(p))))
     j = j.withColumn("npmi", npmi).withColumn("confidence", pmi_confidence(F.col("joint"), F.col("f1"), F.col("f2")))
     return j.withColumn("weighted", F.col("pmi") * F.col("confidence")).select("c1", "c2", "joint", "f1", "f2", "total", "pmi", "npmi", "confidence", "weighted")
 

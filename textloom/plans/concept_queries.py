@@ -147,7 +147,7 @@ wins AS (SELECT doc_id, start, list_sort(list(term)) AS terms FROM spread GROUP
 PAIRS = f"""{WINDOWS}, kept AS (SELECT s.* FROM spread s JOIN wins USING (doc_id, start)), total AS (SELECT count(*)::DOUBLE AS t FROM wins), single AS (SELECT term, count(*) AS freq FROM kept GROUP BY term),
 joint AS (SELECT a.term AS c1, b.term AS c2, count(*) AS joint FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND a.start = b.start AND a.term < b.term GROUP BY 1, 2),
 raw AS (SELECT c1, c2, joint, a.freq AS f1, b.freq AS f2, t, log2((joint / t) / ((a.freq / t) * (b.freq / t))) AS pmi, -log2(joint / t) AS h, joint / least(a.freq, b.freq) AS ratio FROM joint JOIN single a ON a.term = c1 JOIN single b ON b.term = c2, total WHERE joint >= 2 AND a.freq >= 3 AND b.freq >= 3),
-pairs AS (SELECT c1, c2, joint, f1, f2, t::BIGINT AS total, pmi, greatest(-1.0, least(1.0, pmi / nullif(h, 0))) AS npmi, least(1.0, (0.5 + CASE WHEN joint >= 5 THEN 0.3 WHEN joint >= 3 THEN 0.2 ELSE 0 END + CASE WHEN ratio > 0.5 THEN 0.2 WHEN ratio > 0.3 THEN 0.1 ELSE 0 END) * CASE WHEN joint = 1 THEN 0.7 ELSE 1 END)::DOUBLE AS confidence FROM raw)"""
+pairs AS (SELECT c1, c2, joint, f1, f2, t::BIGINT AS total, pmi, CASE WHEN joint < t THEN greatest(-1.0, least(1.0, pmi / h)) END AS npmi, least(1.0, (0.5 + CASE WHEN joint >= 5 THEN 0.3 WHEN joint >= 3 THEN 0.2 ELSE 0 END + CASE WHEN ratio > 0.5 THEN 0.2 WHEN ratio > 0.3 THEN 0.1 ELSE 0 END) * CASE WHEN joint = 1 THEN 0.7 ELSE 1 END)::DOUBLE AS confidence FROM raw)"""
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -115,7 +115,7 @@ def heatmap_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return vc.score_matrix(vc.similarity_pairs(v, 0.05), v.select("id")).select("row", "col", *r6("score"))
 
 
-@query("SELECT 'hier_doc_sec_doc_' || conv_id || '_sec_' || conv_id || '_' || turn AS id, 'doc_' || conv_id AS src, 'sec_' || conv_id || '_' || turn AS dst, 'hierarchical' AS edge_type, 1.0 AS weight, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::VARCHAR AS ordem FROM conversations")
+@query("SELECT 'hier_doc_sec_doc_' || conv_id || '_sec_' || conv_id || '_' || turn AS id, 'doc_' || conv_id AS src, 'sec_' || conv_id || '_' || turn AS dst, 'hierarchical' AS edge_type, 1.0::DOUBLE AS weight, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::VARCHAR AS ordem FROM conversations")
 def hierarchical_edges(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -173,10 +173,19 @@ def type_connectivity(spark: SparkSession, sf: str) -> DataFrame:
     return gr.type_connectivity(corpus_graph(spark, sf))
 
 
-@query(f"WITH {P}, {TYPED} SELECT id, 'types not allowed' AS errors FROM (SELECT CASE edge_type WHEN 'relevance' THEN 'relevance_' || s || '_' || d ELSE edge_type || '_' || s || '_' || d END AS id, edge_type FROM raw_edges) WHERE edge_type = 'x'")
+@query("""SELECT 'bad_' || r_regionkey AS id, 'missing endpoint; bad weight' AS errors FROM region UNION ALL SELECT 'odd_' || r_regionkey, 'unknown type; types not allowed' FROM region
+UNION ALL SELECT 'loop_' || r_regionkey, 'loop; weight over 1; types not allowed' FROM region UNION ALL SELECT 'blank_' || r_regionkey, 'missing label; unknown type' FROM region""")
 def validate_nodes_edges(spark: SparkSession, sf: str) -> DataFrame:
-    g = place_graph(spark, sf)
-    both = gr.validate_nodes(g).unionByName(gr.validate_edges(g))
+    """The place graph with faulty rows added: only they are reported."""
+    g, r = place_graph(spark, sf), table(spark, sf, "region").select(F.col("r_regionkey").alias("k"))
+
+    def edge(prefix: str, dst, kind: str, weight: float) -> DataFrame:
+        return r.select(F.concat(F.lit(prefix), "k").alias("id"), F.concat(F.lit("reg_"), "k").alias("src"), dst.alias("dst"), F.lit(kind).alias("edge_type"), F.lit(weight).alias("weight"), gr.no_metadata().alias("metadata"))
+
+    edges = g.edges.unionByName(edge("bad_", F.lit("nat_999"), "similarity", -0.5)).unionByName(edge("odd_", F.lit("nat_1"), "other", 0.5)).unionByName(edge("loop_", F.concat(F.lit("reg_"), "k"), "similarity", 1.5))
+    nodes = g.nodes.unionByName(r.select(F.concat(F.lit("blank_"), "k").alias("id"), F.lit("thing").alias("node_type"), F.lit("").alias("label"), gr.no_metadata().alias("metadata")))
+    faulty = Graph(nodes, edges)
+    both = gr.validate_nodes(faulty).unionByName(gr.validate_edges(faulty))
     return both.select("id", F.array_join("errors", "; ").alias("errors"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def dedup_stream(stream: DataFrame, key: str, time: str, keep: str = "24 hours") -> DataFrame:
     """The first row of each key within `keep`; older state expires with the watermark."""
-    return stream.withWatermark(time, keep).dropDuplicatesWithinWatermark([key])
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, keep).dropDuplicatesWithinWatermark([key])
 
 
 def ingest_pages(spark: SparkSession, source: str, schema, target: str, checkpoint: str) -> StreamingQuery:
@@ -36,9 +36,9 @@ def ingest_pages(spark: SparkSession, source: str, schema, target: str, checkpoi
 def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Tumbling or sliding time windows per event type; an extension."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Session windows per user; an extension."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("session"), "user_id").agg(F.count("*").alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("session"), "user_id").agg(F.count("*").alias("n"))
