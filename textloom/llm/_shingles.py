@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import xxhash
 
-WORD_ENTRIES = 1_000_000
+WORD_ENTRIES = 250_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 

@@ -13,12 +13,15 @@ classes link when `den * intersection >= num * union`.
 3. A prefix of n - ceil(t * n) + l tokens guarantees that linked classes share at
    least l of them. Per class, l in 1..max_match is chosen by estimated cost: the
    document frequencies of the prefix tokens (postings read) plus their sum over l times
-   the cost of a verification (candidates that can share l tokens). Two classes need
-   min(l_a, l_b) shared tokens within both prefixes of that l.
-4. First each class is held against a few pivots (the least and greatest class of its size
-   band among its postings, the one with most shared tokens), and what links is
-   merged. Then candidates are made only between different components, so a group
-   of near copies costs its size, not its square.
+   the cost of a verification (candidates that can share l tokens). With both prefixes
+   taken at min(l_a, l_b), k shared tokens bound the intersection by
+   k + max over both of (n - prefix); what stays below the needed overlap, or below
+   min(l_a, l_b) tokens, is no candidate. A shared token whose places alone rule the pair
+   out is dropped before counting.
+4. First each class is held against one pivot (the least or greatest class among the
+   postings of its frequent tokens, if they share a good part of the prefix), and what
+   links is merged. Then candidates are made only between different components, so
+   a group of near copies costs its size, not its square.
 5. Candidates are verified exactly on the texts: each centre is sent with at most
    `site_rows` partners to a site, so no site grows with a group.
 
@@ -26,9 +29,10 @@ The result is one row per document with its component; links inside a
 component that pivots already join aren't listed one by one.
 
 Edge cases. Fewer than k words: the whole sequence is the one shingle. No words, or
-null text: empty set, linked with nothing, a component of its own. Repeated rows and
-ids are copies like others; component_id is the least doc_id reached (nulls last).
-An empty table gives an empty result.
+null text: empty set, linked with nothing, a component of its own. Repeated rows are
+copies like others. Where ids repeat or are null, rows get numbers of their own first
+(one more written copy of the texts); component_id is the least doc_id reached, null only
+if no member has one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BROADCAST_ROWS, as_bytes, connected_components, map_arrow, written
+from ._shared import BROADCAST_ROWS, as_bytes, connected_components, map_arrow, restrict, written
 from ._shingles import overlap, set_digest, shingle_set
 
 
@@ -50,7 +54,9 @@ class Params:
     num: int = 90
     den: int = 100
     max_match: int = 4
-    hot_df: int = 48
+    hot_df: int = 32
+    pivot_df: int = 4
+    pivot_share: float = 0.3
     hot_rows: int = 2_000_000
     verify_cost: float = 40.0
     site_rows: int = 256
@@ -81,8 +87,8 @@ def _member(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n, digest, head: the smallest hashes, `whole` if that is the whole set."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """node, n, digest, head: the smallest hashes of the set."""
+    id_type = docs.schema["node"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
@@ -91,11 +97,10 @@ def _sets(docs: DataFrame, p: Params) -> DataFrame:
                 s = shingle_set(data.lower().split(), p.shingle)
                 n.append(len(s))
                 digest.append(set_digest(s))
-                keep = 2 * _prefix(len(s), p, p.max_match) + 8
-                head.append(s[:keep].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(head, pa.binary())], ["doc_id", "n", "digest", "head"])
+                head.append(s[: 2 * _prefix(len(s), p, p.max_match) + 8].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(head, pa.binary())], ["node", "n", "digest", "head"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {id_type}, n int, digest binary, head binary")
+    return map_arrow(docs, run, f"node {id_type}, n int, digest binary, head binary")
 
 
 def _tokens_of_heads(classes: DataFrame) -> DataFrame:
@@ -109,7 +114,7 @@ def _tokens_of_heads(classes: DataFrame) -> DataFrame:
 
 def _hot_tokens(classes: DataFrame, p: Params) -> np.ndarray:
     """Sorted hashes of frequent tokens, at most hot_rows of them."""
-    counts = _tokens_of_heads(classes).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= p.hot_df)
+    counts = written(_tokens_of_heads(classes).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= p.hot_df), "frequent")
     # how many tokens reach each power of two: one small row per power
     levels = counts.groupBy(F.floor(F.log2("df")).cast("int").alias("level")).count().orderBy(F.desc("level")).collect()
     total, least = 0, None
@@ -119,158 +124,163 @@ def _hot_tokens(classes: DataFrame, p: Params) -> np.ndarray:
         total, least = total + r["count"], r["level"]
     if least is None:
         return np.empty(0, np.uint64)
-    rows = counts.where(F.floor(F.log2("df")) >= least).select("token").toPandas()["token"].to_numpy()
-    return np.sort(rows.view(np.uint64) if rows.dtype == np.int64 else rows.astype(np.int64).view(np.uint64))
+    rows = counts.where(F.floor(F.log2("df")) >= least).select("token").toPandas()["token"].to_numpy(np.int64)
+    return np.sort(rows.view(np.uint64))
 
 
 def _postings(classes: DataFrame, docs: DataFrame, hot: np.ndarray, p: Params) -> DataFrame:
-    """token, digest, n, pos: the longest prefix of every class."""
+    """token, node, n, pos: the longest prefix of every class."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    schema = "token bigint, digest binary, n int, pos int"
+    id_type = docs.schema["node"].dataType.simpleString()
+    schema = f"token bigint, node {id_type}, n int, pos int"
 
-    def batch(rows):
-        tokens = [t for t, _, _ in rows]
-        sizes = [len(t) for t in tokens]
+    def batch(tokens, nodes, sizes):
+        lengths = [len(t) for t in tokens]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(_signed(np.concatenate(tokens) if tokens else np.empty(0, np.uint64))),
-                pa.array([d for _, d, _ in rows], pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), sizes))),
-                pa.array(np.repeat(np.array([n for _, _, n in rows], np.int32), sizes)),
-                pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]) if sizes else np.empty(0, np.int32)),
+                nodes.take(pa.array(np.repeat(np.arange(len(tokens)), lengths))),
+                pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+                pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]) if tokens else np.empty(0, np.int32)),
             ],
-            ["token", "digest", "n", "pos"],
+            ["token", "node", "n", "pos"],
         )
 
+    def first_tokens(n: int, head: bytes) -> np.ndarray | None:
+        return _ordered(np.frombuffer(head, np.uint64), shared.value, min(n, _prefix(n, p, p.max_match)), len(head) == 8 * n)
+
     def from_heads(batches):
         for b in batches:
-            rows = []
-            for d, n, h in zip(b.column("digest").to_pylist(), b.column("n").to_pylist(), b.column("head").to_pylist(), strict=True):
-                t = _ordered(np.frombuffer(h, np.uint64), shared.value, min(n, _prefix(n, p, p.max_match)), len(h) == 8 * n)
-                if t is not None:
-                    rows.append((t, d, n))
-            yield batch(rows)
+            found = [(i, n, first_tokens(n, h)) for i, (n, h) in enumerate(zip(b.column("n").to_pylist(), b.column("head").to_pylist(), strict=True))]
+            found = [x for x in found if x[2] is not None]
+            yield batch([x[2] for x in found], b.column("node").take(pa.array([x[0] for x in found], pa.int64())), [x[1] for x in found])
 
     def unsettled(batches):
         for b in batches:
-            keep = [_ordered(np.frombuffer(h, np.uint64), shared.value, min(n, _prefix(n, p, p.max_match)), len(h) == 8 * n) is None for n, h in zip(b.column("n").to_pylist(), b.column("head").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(keep, pa.bool_()))], ["doc_id"])
+            keep = [first_tokens(n, h) is None for n, h in zip(b.column("n").to_pylist(), b.column("head").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("node").filter(pa.array(keep, pa.bool_()))], ["node"])
 
     def from_texts(batches):
         for b in batches:
-            rows = []
-            for data in as_bytes(b.column("text")):
-                s = shingle_set(data.lower().split(), p.shingle)
-                rows.append((_ordered(s, shared.value, min(len(s), _prefix(len(s), p, p.max_match)), True), set_digest(s), len(s)))
-            yield batch(rows)
+            sets = [shingle_set(data.lower().split(), p.shingle) for data in as_bytes(b.column("text"))]
+            yield batch([_ordered(s, shared.value, min(len(s), _prefix(len(s), p, p.max_match)), True) for s in sets], b.column("node"), [len(s) for s in sets])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    settled = map_arrow(classes.select("digest", "n", "head"), from_heads, schema)
+    settled = map_arrow(classes.select("node", "n", "head"), from_heads, schema)
     if not len(hot):
         return settled
-    again = written(map_arrow(classes.select("doc_id", "n", "head"), unsettled, f"doc_id {id_type}"), "unsettled").distinct()
-    n = again.count()
-    if not n:
+    again = written(map_arrow(classes.select("node", "n", "head"), unsettled, f"node {id_type}"), "unsettled")
+    if not (n := again.count()):
         return settled
-    texts = docs.select("doc_id", "text").join(F.broadcast(again) if n <= BROADCAST_ROWS else again, "doc_id", "left_semi")
-    # a doc_id may stand for several texts: what isn't an unsettled class is dropped with its digest
-    walked = map_arrow(texts, from_texts, schema)
-    open_digests = classes.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, "doc_id", "left_semi").select("digest")
-    return settled.unionByName(walked.join(open_digests, "digest", "left_semi").distinct())
+    return settled.unionByName(written(map_arrow(restrict(docs, again, "node", n), from_texts, schema), "walked"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """Of distinct pairs (a, b) of class digests, those that link. Each centre a is sent with at most site_rows partners to a site."""
+def _verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """Of distinct pairs (a, b) of classes, those that link. Each centre a is sent with at most site_rows partners to a site."""
+    id_type = docs.schema["node"].dataType.simpleString()
     deg = pairs.groupBy("a").agg(F.count("*").alias("deg"))
     sited = pairs.join(deg, "a").select("a", "b", F.when(F.col("deg") > p.site_rows, F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / p.site_rows))).otherwise(F.lit(0)).cast("int").alias("site"))
     sited = written(sited, "pairs")
-    needs = sited.select("a", "site", F.col("a").alias("digest"), F.lit(0).alias("role")).distinct().unionByName(sited.select("a", "site", F.col("b").alias("digest"), F.lit(1).alias("role")))
-    needs = written(needs.join(classes.select("digest", "doc_id"), "digest"), "needs")
-    n = needs.count()
-    texts = docs.select("doc_id", "text").join(F.broadcast(needs) if n <= BROADCAST_ROWS // 4 else needs, "doc_id")
-    placed = texts.repartition("a", "site").sortWithinPartitions("a", "site", "role", "digest").select("a", "site", "role", "digest", "text")
+    needs = sited.select("a", "site", F.col("a").alias("node"), F.lit(0).alias("role")).distinct().unionByName(sited.select("a", "site", F.col("b").alias("node"), F.lit(1).alias("role")))
+    n = 2 * sited.count()
+    texts = docs.join(F.broadcast(needs) if n <= BROADCAST_ROWS // 4 else needs, "node")
+    placed = texts.repartition("a", "site").sortWithinPartitions("a", "site", "role", "node").select("a", "site", "role", "node", "text")
 
     def run(batches):
         at, centre = None, None
         for b in batches:
-            out = []
-            for a, site, role, digest, data in zip(*(b.column(c).to_pylist() for c in ("a", "site", "role", "digest")), as_bytes(b.column("text")), strict=True):
+            first, second = [], []
+            for a, site, role, node, data in zip(*(b.column(c).to_pylist() for c in ("a", "site", "role", "node")), as_bytes(b.column("text")), strict=True):
                 s = shingle_set(data.lower().split(), p.shingle)
-                if set_digest(s) != digest:
-                    continue  # another text under the same doc_id
                 if role == 0:
                     at, centre = (a, site), s
                 elif at == (a, site):
                     common = overlap(centre, s)
                     if p.den * common >= p.num * (len(centre) + len(s) - common):
-                        out.append((a, digest))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
+                        first.append(a)
+                        second.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(x, b.column("node").type) for x in (first, second)], ["a", "b"])
 
-    return map_arrow(placed, run, "a binary, b binary").distinct()
+    return map_arrow(placed, run, f"a {id_type}, b {id_type}")
 
 
-def jaccard_components(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, class_id (hex digest of the set)."""
-    p = params
-    docs = docs.select("doc_id", "text")
+def _components(docs: DataFrame, p: Params) -> DataFrame:
+    """docs(node, text) with unique nodes -> node, n, digest, component."""
     sets = written(_sets(docs, p), "sets")
-    classes = written(sets.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "head")).alias("x")).select("digest", "x.doc_id", "x.n", "x.head"), "classes")
+    copies = sets.where("n > 0").groupBy("digest").agg(F.min("node").alias("least"), F.count("*").alias("k")).where("k > 1").select("digest", "least")
+    copies = written(copies, "copies")
+    n_copies = copies.count()
+    classed = sets.join(F.broadcast(copies) if n_copies <= BROADCAST_ROWS // 4 else copies, "digest", "left").withColumn("class", F.coalesce("least", "node")).drop("least")
+    classes = classed.where("n > 0 and class = node").select("node", "n", "head")
     hot = _hot_tokens(classes, p)
     postings = _postings(classes, docs, hot, p)
 
     # tokens of one class only join nothing
-    t = F.lit(p.num / p.den)
-    band = F.floor(F.log(F.col("n").cast("double")) / -F.log(t)).cast("int")
-    postings = written(postings.withColumn("band", band), "postings")
-    df = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = written(postings.join(df, "token"), "shared")
+    tokens = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("low"), F.max("node").alias("high")).where("df > 1")
+    shared = written(postings.join(tokens, "token"), "shared")
+
+    def prefix_of(n, match):
+        return n - F.ceil(F.lit(p.num) * n / F.lit(p.den)).cast("int") + match
 
     # adaptive match count per class
-    base = F.col("n") - F.ceil(F.lit(p.num) * F.col("n") / F.lit(p.den)).cast("int")
-    within = [F.sum(F.when(F.col("pos") < base + l, F.col("df")).otherwise(0)) for l in range(1, p.max_match + 1)]
-    costs = F.array(*(F.struct((w + w / l * p.verify_cost).alias("cost"), F.lit(l).alias("l")) for l, w in enumerate(within, 1)))
-    chosen = written(shared.groupBy("digest").agg(F.array_min(costs)["l"].alias("l")), "matches")
-
-    # pivots: the ends of each posting list's size band
-    ends = shared.groupBy("token", "band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high")
-    votes = shared.join(ends, ["token", "band"])
-    votes = votes.select("digest", F.col("low").alias("pivot")).unionByName(votes.select("digest", F.col("high").alias("pivot"))).where("digest <> pivot")
-    best = votes.groupBy("digest", "pivot").agg(F.count("*").alias("k")).groupBy("digest").agg(F.max(F.struct("k", "pivot")).alias("x"))
-    star = best.select(F.col("x.pivot").alias("a"), F.col("digest").alias("b"))
-    links = written(_verified(star, classes, docs, p), "links")
+    n = F.col("n")
+    within = [F.sum(F.when(F.col("pos") < prefix_of(n, m), F.col("df")).otherwise(0)) for m in range(1, p.max_match + 1)]
+    costs = F.array(*(F.struct((w + w / m * p.verify_cost).alias("cost"), F.lit(m).alias("m")) for m, w in enumerate(within, 1)))
+    chosen = shared.groupBy("node").agg(F.array_min(costs)["m"].cast("tinyint").alias("match"))
+
+    # pivots
+    frequent = shared.where(F.col("df") >= p.pivot_df)
+    votes = frequent.select("node", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("pivot")).where("node <> pivot")
+    best = votes.groupBy("node", "pivot").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= p.pivot_share * prefix_of(n, p.max_match))
+    best = best.groupBy("node").agg(F.max(F.struct("k", "pivot")).alias("x"))
+    links = written(_verified(best.select(F.col("x.pivot").alias("a"), F.col("node").alias("b")), docs, p), "links")
     parts = connected_components(links)
 
     # candidates across components
-    label = shared.join(parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    label = written(label.join(chosen, "digest"), "labelled")
-    mixed = label.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-    side = label.join(mixed, "token", "left_semi").select("token", "digest", "n", "pos", "component", "l")
+    small = parts.count() <= BROADCAST_ROWS // 4
+    label = shared.select("token", "node", "n", "pos").join(F.broadcast(parts) if small else parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    label = label.join(chosen, "node")
+    side = written(label, "labelled")
+    if links.take(1):
+        mixed = side.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
+        side = side.join(mixed, "token", "left_semi")
     x, y = side.alias("x"), side.alias("y")
+    nx, ny, match = F.col("x.n"), F.col("y.n"), F.least("x.match", "y.match").cast("int")
+    least, most = F.least(nx, ny).cast("bigint"), F.greatest(nx, ny).cast("bigint")
+    needed = F.ceil(F.lit(p.num) * (least + most) / F.lit(p.num + p.den))
+    px, py = F.col("x.pos"), F.col("y.pos")
     both = x.join(y, "token").where(
-        (F.col("x.digest") < F.col("y.digest")) & (F.col("x.component") != F.col("y.component"))
-        & (p.den * F.least("x.n", "y.n").cast("bigint") >= p.num * F.greatest("x.n", "y.n").cast("bigint"))
+        (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (p.den * least >= p.num * most)
+        & (px < prefix_of(nx, match)) & (py < prefix_of(ny, match))
+        & (F.least(px, py) + F.least(nx - px, ny - py) >= needed)
     )
-    l = F.least("x.l", "y.l")
-
-    def inside(side_name: str):
-        n = F.col(f"{side_name}.n")
-        return F.col(f"{side_name}.pos") < n - F.ceil(F.lit(p.num) * n / F.lit(p.den)).cast("int") + l
+    counted = both.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("k"), F.first(match).alias("match"), F.first(needed).alias("needed"), F.first(F.greatest(nx - prefix_of(nx, match), ny - prefix_of(ny, match))).alias("rest"))
+    cand = counted.where((F.col("k") >= F.col("match")) & (F.col("k") + F.greatest(F.col("rest"), F.lit(0)) >= F.col("needed"))).select("a", "b")
+    more = written(_verified(cand, docs, p), "more")
+    if more.take(1):
+        parts = connected_components(links.unionByName(more))
+    small = parts.count() <= BROADCAST_ROWS // 4
+    named = parts.withColumnRenamed("node", "class")
+    rows = classed.select("node", "n", "digest", "class").join(F.broadcast(named) if small else named, "class", "left")
+    return rows.select("node", "n", "digest", F.coalesce("component", "class").alias("component"))
 
-    cand = both.where(inside("x") & inside("y")).groupBy(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).agg(F.count("*").alias("k"), F.min(l).alias("l")).where("k >= l")
-    more = _verified(cand.select("a", "b"), classes, docs, p)
-    parts = connected_components(links.unionByName(more))
 
-    # the least doc_id of each component, then back to every document
-    named = classes.select("digest", "doc_id").join(parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(least, "component").select("digest", "component_id")
-    rows = sets.select("doc_id", "n", "digest").join(of_class, "digest", "left")
-    return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.hex("digest").alias("class_id"))
+def jaccard_components(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, class_id (hex digest of the set)."""
+    plain = docs.select(F.col("doc_id").alias("node"), "text")
+    counts = plain.agg(F.count("*"), F.count("node"), F.count_distinct("node")).first()
+    if counts[0] == counts[2]:
+        parts = _components(plain, params)
+        return parts.select(F.col("node").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"), F.hex("digest").alias("class_id"))
+    numbered = written(plain.withColumnRenamed("node", "doc_id").withColumn("node", F.monotonically_increasing_id()), "numbered")
+    parts = written(_components(numbered.select("node", "text"), params).join(numbered.select("node", "doc_id"), "node"), "parts")
+    least = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return parts.join(least, "component").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", F.hex("digest").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """The rows of docs whose doc_id is its component's least, one row for each, with all their columns."""
     parts = jaccard_components(docs, params)
-    kept = written(parts.where("doc_id = component_id or (doc_id is null and component_id is null)").groupBy("doc_id").agg(F.count("*").alias("k")), "kept")
+    kept = written(parts.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("k")), "kept")
     n, repeated = kept.count(), kept.where("k > 1").limit(1).count()
     keys = kept.select("doc_id")
     same = docs["doc_id"].eqNullSafe(keys["doc_id"])
