@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import checkpointed, fresh_path, shared_dir, written
+from ..operators.components import connected_components
+
 _PACKAGE_ROOT = Path(__file__).resolve().parents[2]
-_DRIVER_DIR: list[str] = []
 
 # Rows up to which a one-column id table may be broadcast (8 to 40 bytes a row).
 BROADCAST_ROWS = 1_000_000
@@ -36,36 +37,6 @@ def ship_package(spark: SparkSession) -> None:
     sc._textloom_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not _DRIVER_DIR:
-        _DRIVER_DIR.append("file://" + tempfile.mkdtemp(prefix="textloom-shared-"))
-    return _DRIVER_DIR[0]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into the shared folder; for small tables in loops."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
@@ -98,41 +69,6 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph.
-
-    edges: two columns (a, b) of one orderable type. Self loops, repeats and null
-    endpoints are ignored. Returns (node, component): every endpoint with the
-    least node that it reaches. Alternating large-star and small-star rounds, each
-    a pre-aggregated groupBy and a join; no neighbour list is ever collected, so a
-    hub costs no single task its whole neighbourhood. Lineage is cut every round.
-    """
-    e = edges.select(F.col(edges.columns[0]).alias("u"), F.col(edges.columns[1]).alias("v"))
-    e = checkpointed(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def state(d: DataFrame) -> tuple:
-        r = d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
-    seen = state(e)
-    if seen[0] == 0:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(linked.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = state(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("connected components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

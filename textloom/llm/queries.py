@@ -61,4 +61,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_secret_scan, op2_url_filter, op3_token_counts, op4_sorted_string_table, op5_packing, op6_decontamination, op7_license_scan, op8_language_id, op9_ngram_join, op10_quality_rules)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _secret_sql() -> str:
+    """Places from the text split by each rule, as the operator takes them."""
+    parts = []
+    for k, r in enumerate(secret_scan.RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s, length(m[i]) AS n "
+            f"FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {r.group}) AS g, string_split_regex(text, '{pattern}') AS p FROM t), unnest(range(1, len(m) + 1)) u(i) WHERE length(g[i]) >= {r.group_chars}"
+        )
+    span, base = "kind || ':' || s || ':' || (s + n)", len(secret_scan.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    return (
+        f"WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found AS ({' UNION ALL '.join(parts)}) SELECT doc_id, {counts}, "
+        f"sha256(coalesce(string_agg({span}, ',' ORDER BY s, k) FILTER (WHERE k < {base}), '')) AS base_sha256, coalesce(string_agg({span}, ',' ORDER BY s, k), '') AS spans FROM t LEFT JOIN found USING (doc_id) GROUP BY doc_id"
+    )
+
+
+# The pages hold no canonical or refresh links, so no verdict is carried; with links the operator is tested on fixtures.
+_URL_SQL = (
+    "WITH r(rule_host, rule_path, verdict) AS (VALUES "
+    + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+    + r"""), u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT page_id, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, verdict) AS k FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, NULL::VARCHAR AS alias_of FROM h LEFT JOIN f ON f.page_id = h.page_id AND k = 1"""
+)
+
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _secret_sql(), "op2_url_filter": _URL_SQL}
