@@ -18,9 +18,9 @@ classes link when `den * intersection >= num * union`.
    k + max over both of (n - prefix); what stays below the needed overlap, or below
    min(l_a, l_b) tokens, is no candidate. A shared token whose places alone rule the pair
    out is dropped before counting.
-4. First each class is held against one pivot (the least or greatest class among the
-   postings of its frequent tokens, if they share a good part of the prefix), and what
-   links is merged. Then candidates are made only between different components, so
+4. First each class is held against one pivot (among the postings of its frequent
+   tokens the class whose prefix others share most, if the two share a good part of the
+   prefix), and what links is merged. Then candidates are made only between different components, so
    a group of near copies costs its size, not its square.
 5. Candidates are verified exactly on the texts: each centre is sent with at most
    `site_rows` partners to a site, so no site grows with a group.
@@ -182,7 +182,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     sited = written(sited, "pairs")
     needs = sited.select("a", "site", F.col("a").alias("node"), F.lit(0).alias("role")).distinct().unionByName(sited.select("a", "site", F.col("b").alias("node"), F.lit(1).alias("role")))
     n = 2 * sited.count()
-    texts = docs.join(F.broadcast(needs) if n <= BROADCAST_ROWS // 4 else needs, "node")
+    texts = docs.join(F.broadcast(needs) if n <= BROADCAST_ROWS // 2 else needs, "node")
     placed = texts.repartition("a", "site").sortWithinPartitions("a", "site", "role", "node").select("a", "site", "role", "node", "text")
 
     def run(batches):
@@ -215,21 +215,26 @@ def _components(docs: DataFrame, p: Params) -> DataFrame:
     postings = _postings(classes, docs, hot, p)
 
     # tokens of one class only join nothing
-    tokens = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("low"), F.max("node").alias("high")).where("df > 1")
+    tokens = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = written(postings.join(tokens, "token"), "shared")
 
     def prefix_of(n, match):
         return n - F.ceil(F.lit(p.num) * n / F.lit(p.den)).cast("int") + match
 
-    # adaptive match count per class
+    # per class: the adaptive match count, and how much of its prefix others share
     n = F.col("n")
     within = [F.sum(F.when(F.col("pos") < prefix_of(n, m), F.col("df")).otherwise(0)) for m in range(1, p.max_match + 1)]
     costs = F.array(*(F.struct((w + w / m * p.verify_cost).alias("cost"), F.lit(m).alias("m")) for m, w in enumerate(within, 1)))
-    chosen = shared.groupBy("node").agg(F.array_min(costs)["m"].cast("tinyint").alias("match"))
-
-    # pivots
-    frequent = shared.where(F.col("df") >= p.pivot_df)
-    votes = frequent.select("node", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("pivot")).where("node <> pivot")
+    weight = (F.sum("df") / F.first(prefix_of(n, p.max_match))).alias("weight")
+    chosen = written(shared.groupBy("node").agg(F.array_min(costs)["m"].cast("tinyint").alias("match"), weight), "chosen")
+    few = chosen.count() <= BROADCAST_ROWS // 2
+
+    # pivots: of each frequent token's postings the class whose prefix others share most, as a
+    # group's original does; each class takes the one that most of its tokens name
+    frequent = shared.where(F.col("df") >= p.pivot_df).select("token", "node", "n")
+    weighed = frequent.join(F.broadcast(chosen) if few else chosen, "node")
+    tops = weighed.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("x")).select("token", F.col("x.node").alias("pivot"))
+    votes = frequent.join(tops, "token").where("node <> pivot")
     best = votes.groupBy("node", "pivot").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= p.pivot_share * prefix_of(n, p.max_match))
     best = best.groupBy("node").agg(F.max(F.struct("k", "pivot")).alias("x"))
     links = written(_verified(best.select(F.col("x.pivot").alias("a"), F.col("node").alias("b")), docs, p), "links")
@@ -238,7 +243,7 @@ def _components(docs: DataFrame, p: Params) -> DataFrame:
     # candidates across components
     small = parts.count() <= BROADCAST_ROWS // 4
     label = shared.select("token", "node", "n", "pos").join(F.broadcast(parts) if small else parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    label = label.join(chosen, "node")
+    label = label.join(F.broadcast(chosen) if few else chosen, "node").drop("weight")
     side = written(label, "labelled")
     if links.take(1):
         mixed = side.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
