@@ -10,7 +10,7 @@ from ..operators import concepts as cp
 from ..operators import cooccurrence as co
 from ..operators import vectors as vc
 from ..sources.dictionaries import STOP_WORDS, Category
-from .registry import query, table
+from .registry import query, table, texts
 from .text_queries import WINDOW_TEXT
 
 # Terms that the synthetic texts hold, single words and phrases.
@@ -35,7 +35,7 @@ COUNTS = "counts AS (SELECT gram, count(*) AS total, count(DISTINCT doc_id) AS d
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return texts(spark, sf).select("doc_id", "text")
 
 
 def terms(spark: SparkSession) -> DataFrame:

@@ -25,3 +25,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, dealt over all cores if its files have fewer splits than there are cores (a split is a row group at least).
+
+    A corpus of that few splits is small, so the exchange is too; larger ones are read as they are.
+    """
+    d = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if d._jdf.queryExecution().toRdd().getNumPartitions() < cores else d

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import extract, pages, relational
 from ..operators.vectors import hash_sample
-from .registry import query, table
+from .registry import query, table, texts
 
 SQUEEZED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 ALNUM = r"length(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
@@ -60,7 +60,7 @@ def string_agg_types(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {N_WORDS} AS n_words, {VALID} AS is_valid FROM documents")
 def valid_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.word_count("text").cast("bigint").alias("n_words"), tx.is_valid_document("text").alias("is_valid"))
+    return texts(spark, sf).select("doc_id", tx.word_count("text").cast("bigint").alias("n_words"), tx.is_valid_document("text").alias("is_valid"))
 
 
 @query(f"SELECT 'doc_' || doc_id AS id, 'document' AS node_type, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS label, {N_WORDS} AS num_tokens FROM documents")
@@ -71,13 +71,13 @@ def num_tokens_projection(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT count(*) AS n_documents, count(*) FILTER (WHERE {VALID}) AS n_valid, count(*) FILTER (WHERE length(trim(coalesce(text, ''))) = 0) AS n_empty,
 count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS n_labelled, sum(length(text))::BIGINT AS total_chars, round(avg(length(text)), 6) AS avg_chars FROM documents""")
 def preprocess_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return relational.preprocess_stats(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return relational.preprocess_stats(texts(spark, sf), table(spark, sf, "labels"))
 
 
 @query(f"""SELECT count(*) AS n, round(avg({VALID}::INT), 6) AS valid_ratio, round(avg(length(text)), 6) AS avg_chars, min(length(text)) AS min_chars, max(length(text)) AS max_chars,
 avg({VALID}::INT) < 0.9 AS low_coverage, avg({VALID}::INT) < 0.5 AS very_low_coverage FROM documents""")
 def validation_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return relational.validation_summary(table(spark, sf, "documents"))
+    return relational.validation_summary(texts(spark, sf))
 
 
 @query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href\s*=\s*["'']([^"'']*)["'']', 1)) AS link FROM pages), d AS (SELECT DISTINCT page_id, link FROM l),
@@ -89,7 +89,7 @@ def html_links(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT page_id, {CLEAN} AS text FROM pages")
 def html_clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", tx.clean_html("html").alias("text"))
+    return texts(spark, sf, "pages").select("page_id", tx.clean_html("html").alias("text"))
 
 
 @query(r"""SELECT page_id, coalesce(nullif(substr(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), 1, 200), ''), nullif(substr(trim(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)), 1, 200), '')) AS title,
@@ -104,7 +104,7 @@ PARAGRAPHS = r"""SELECT doc_id, i::INT AS ordem, substr(p[i], 1, 3000) AS conten
 
 @query(PARAGRAPHS)
 def page_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.paragraphs(table(spark, sf, "documents"))
+    return pages.paragraphs(texts(spark, sf))
 
 
 @query(r"""SELECT page_id, CASE WHEN md5(url) IN (SELECT md5(url) FROM pages WHERE page_id % 7 = 0) THEN 'already_processed' WHEN 'processo_' || page_id IN (SELECT 'processo_' || page_id FROM pages WHERE page_id % 5 = 0) THEN 'already_exists'
@@ -121,13 +121,13 @@ ACCENTED, PLAIN = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉ
 @query(rf"SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(text), '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS nfc, translate(substr(text, 1, 300), '{ACCENTED}', '{PLAIN}') AS folded FROM documents")
 def normalize_unicode(spark: SparkSession, sf: str) -> DataFrame:
     nfc = tx.normalize_unicode("NFC", "space")
-    return table(spark, sf, "documents").select("doc_id", nfc("text").alias("nfc"), tx.fold_accents(F.substring("text", 1, 300)).alias("folded"))
+    return texts(spark, sf).select("doc_id", nfc("text").alias("nfc"), tx.fold_accents(F.substring("text", 1, 300)).alias("folded"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\n\s*\n', chr(10), 'g'), '[ \t]+', ' ', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS t FROM documents)
 SELECT doc_id, trim(CASE WHEN length(t) > 1536 THEN substr(t, 1, 1536) || '...' ELSE t END, ' ' || chr(9) || chr(10) || chr(13)) AS prepared FROM t""")
 def vector_prep(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.vector_prep("text").alias("prepared"))
+    return texts(spark, sf).select("doc_id", tx.vector_prep("text").alias("prepared"))
 
 
 WINDOW_TEXT = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -135,7 +135,7 @@ WINDOW_TEXT = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s
 
 @query(f"SELECT doc_id, {WINDOW_TEXT} AS normal FROM documents")
 def window_text_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.window_text("text").alias("normal"))
+    return texts(spark, sf).select("doc_id", tx.window_text("text").alias("normal"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) >= 1000 THEN text END AS text FROM documents")
@@ -145,7 +145,7 @@ def min_length_null(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, ordem, length(content) BETWEEN 200 AND 2000 AND len(string_split({SQUEEZED.format('content')}, ' ')) >= 10 AND {ALNUM.format('content')} >= 0.6 * length(content) AND regexp_matches(content, '(?i)(the|und|que|les)') AS is_valid FROM ({PARAGRAPHS})""")
 def section_predicate(spark: SparkSession, sf: str) -> DataFrame:
-    p = pages.paragraphs(table(spark, sf, "documents"))
+    p = pages.paragraphs(texts(spark, sf))
     ok = F.length("content").between(200, 2000) & (tx.word_count("content") >= 10) & (tx.alnum_count("content") >= 0.6 * F.length("content")) & F.col("content").rlike("(?i)(the|und|que|les)")
     return p.select("doc_id", "ordem", ok.alias("is_valid"))
 
@@ -194,7 +194,7 @@ def map_section_type(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"""WITH c AS (SELECT doc_id, text, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^[_\-=*]{3,}$')), chr(10)) AS clean FROM documents)
 SELECT doc_id, clean, CASE WHEN length(text) > 5000 THEN substr(text, 1, 5000) || '...' WHEN length(text) > 200 THEN text END AS generic FROM c""")
 def section_split_generic(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.clean_section("text").alias("clean"), extract.generic_section(F.col("text")).alias("generic"))
+    return texts(spark, sf).select("doc_id", tx.clean_section("text").alias("clean"), extract.generic_section(F.col("text")).alias("generic"))
 
 
 def _text_rules():
@@ -205,7 +205,7 @@ def _text_rules():
 
 @query()
 def section_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.extract_sections(table(spark, sf, "documents"), rules=_text_rules()).select("doc_id", "section_id", "section_type", "ordem", "start", "length")
+    return extract.extract_sections(texts(spark, sf), rules=_text_rules()).select("doc_id", "section_id", "section_type", "ordem", "start", "length")
 
 
 def entity_rules():
@@ -220,12 +220,12 @@ def entity_rules():
 
 @query()
 def entity_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.extract_entities(table(spark, sf, "documents"), entity_rules())
+    return extract.extract_entities(texts(spark, sf), entity_rules())
 
 
 @query()
 def judges_laws_filter(spark: SparkSession, sf: str) -> DataFrame:
-    e = extract.extract_entities(table(spark, sf, "documents"), entity_rules())
+    e = extract.extract_entities(texts(spark, sf), entity_rules())
     return extract.names_over(e, "lei", 0.7).withColumn("kind", F.lit("lei")).unionByName(extract.names_over(e, "pessoa", 0.8).withColumn("kind", F.lit("pessoa")))
 
 
@@ -235,7 +235,7 @@ EMAIL = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]"
 @query(rf"""WITH e AS (SELECT 'email' AS entity_type, lower(unnest(regexp_extract_all(text, '{EMAIL}'))) AS name, doc_id FROM documents UNION ALL SELECT 'license', lower(unnest(regexp_extract_all(text, 'Licensed under [A-Za-z -]+'))), doc_id FROM documents)
 SELECT entity_type, name, count(*) AS frequency, min(doc_id) AS first_doc FROM e GROUP BY entity_type, name HAVING count(*) >= 2""")
 def entity_simple(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     kinds = (("email", EMAIL), ("license", "Licensed under [A-Za-z -]+"))
 
     def matches(kind: str, pattern: str):
