@@ -66,7 +66,8 @@ def restrict(df: DataFrame, keys: DataFrame, on: str, rows: int | None = None) -
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size; a file scan's is the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 58 else 0  # a plan of unknown size is given as the greatest long
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
