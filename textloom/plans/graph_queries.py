@@ -50,7 +50,7 @@ def corpus_graph(spark: SparkSession, sf: str) -> Graph:
 
 
 def place_graph(spark: SparkSession, sf: str) -> Graph:
-    r, n, s = table(spark, sf, "region"), table(spark, sf, "nation"), table(spark, sf, "supplier").where("s_suppkey <= 60")
+    r, n, s = table(spark, sf, "region"), table(spark, sf, "nation"), table(spark, sf, "supplier")
     reg, nat, sup = F.concat(F.lit("reg_"), F.col("r_regionkey")), F.concat(F.lit("nat_"), F.col("n_nationkey")), F.concat(F.lit("sup_"), F.col("s_suppkey"))
     nodes = gr.make_nodes(r, "concept", reg, F.col("r_name")).unionByName(gr.make_nodes(n, "document", nat, F.col("n_name"))).unionByName(gr.make_nodes(s, "entity", sup, F.col("s_name")))
     ring = n.select("n_nationkey", ((F.col("n_nationkey") + 1) % 25).alias("to"))
