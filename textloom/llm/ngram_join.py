@@ -62,6 +62,9 @@ class Params:
     site_rows: int = 256
 
 
+ROW = "_row"
+
+
 def _prefix(n: int, p: Params, match: int) -> int:
     """Tokens of which linked sets share at least `match`."""
     return n - -(-p.num * n // p.den) + match
@@ -269,25 +272,45 @@ def _components(docs: DataFrame, p: Params) -> DataFrame:
     return rows.select("node", "n", "digest", F.coalesce("component", "class").alias("component"))
 
 
+def _unique(docs: DataFrame) -> bool:
+    counts = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    return counts[0] == counts[2]
+
+
+def _by_id(docs: DataFrame, p: Params) -> DataFrame:
+    """docs with unique ids -> doc_id, n_shingles, component_id, class_id."""
+    parts = _components(docs.select(F.col("doc_id").alias("node"), "text"), p)
+    return parts.select(F.col("node").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"), F.hex("digest").alias("class_id"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a written number of each row, which later reads don't change."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _by_row(numbered: DataFrame, p: Params) -> DataFrame:
+    """Numbered docs -> node, n, digest, component (a node), doc_id."""
+    keys = numbered.select(F.col(ROW).alias("node"), "doc_id")
+    return written(_components(numbered.select(F.col(ROW).alias("node"), "text"), p).join(keys, "node"), "parts")
+
+
 def jaccard_components(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, class_id (hex digest of the set)."""
-    plain = docs.select(F.col("doc_id").alias("node"), "text")
-    counts = plain.agg(F.count("*"), F.count("node"), F.count_distinct("node")).first()
-    if counts[0] == counts[2]:
-        parts = _components(plain, params)
-        return parts.select(F.col("node").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"), F.hex("digest").alias("class_id"))
-    numbered = written(plain.withColumnRenamed("node", "doc_id").withColumn("node", F.monotonically_increasing_id()), "numbered")
-    parts = written(_components(numbered.select("node", "text"), params).join(numbered.select("node", "doc_id"), "node"), "parts")
+    plain = docs.select("doc_id", "text")
+    if _unique(plain):
+        return _by_id(plain, params)
+    parts = _by_row(_numbered(plain), params)
     least = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return parts.join(least, "component").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", F.hex("digest").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """The rows of docs whose doc_id is its component's least, one row for each, with all their columns."""
-    parts = jaccard_components(docs, params)
-    kept = written(parts.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("k")), "kept")
-    n, repeated = kept.count(), kept.where("k > 1").limit(1).count()
-    keys = kept.select("doc_id")
-    same = docs["doc_id"].eqNullSafe(keys["doc_id"])
-    out = docs.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, same, "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One row of docs for each component, with all its columns: that of the least doc_id (null last), of rows with that id the first by number."""
+    if _unique(docs):
+        key, rows = "doc_id", docs
+        kept = _by_id(docs, params).where("doc_id = component_id").select(key)
+    else:
+        key, rows = ROW, _numbered(docs)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))
+        kept = _by_row(rows, params).groupBy("component").agg(first.alias("x")).select(F.col("x.node").alias(key))
+    return restrict(rows, written(kept, "kept"), key).select(*docs.columns)
