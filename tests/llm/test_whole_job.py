@@ -1,6 +1,8 @@
 """Operators do the whole job: no row, language or label is lost to a bound."""
 
-from textloom.llm import ngram_join
+import random
+
+from textloom.llm import ngram_join, quality
 
 
 # near duplicates where ids repeat or are null
@@ -21,3 +23,27 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     # null ids: different texts all stay, of copies one, with a named row before an unnamed one
     got = survivors(spark, [("a", None, "k l m n"), ("b", None, "p q r s"), ("c", None, "p q r s"), ("d", None, None), ("e", None, "a b c d"), ("f", 9, "a b c d")])
     assert [(i, t) for i, t, _ in got] == sorted([(None, "k l m n"), (None, "p q r s"), (None, None), (9, "a b c d")], key=str) and (9, "a b c d", "f") in got
+
+
+# quality rules for languages with few documents
+
+
+def clean(letters, i, n=60):
+    """A text of n words, drawn from 50."""
+    r = random.Random(i)
+    return " ".join(letters[(k := r.randrange(50)) % 12] + letters[k // 12] + letters[k % 7] * 3 for _ in range(n)) + "."
+
+
+LATIN, GREEK, RUSSIAN = "etaoinshrdlu", "αβγδεζηθικλμ", "абвгдежзиклм"
+
+
+def test_rare_languages_keep_clean_documents(spark):
+    # the 70 languages are beyond the old cap of 64; the Greek and Russian ones have too few documents for a reference
+    rows = [(f"l{k}", clean(LATIN, i)) for k in range(70) for i in range(20)] + [("zz", clean(RUSSIAN, i)) for i in range(20)]
+    few = [("el", clean(GREEK, i)) for i in range(19)] + [("ru", clean(RUSSIAN, i)) for i in range(7)] + [(None, clean(GREEK, 3))]
+    rows += few + [("ru", "а б")]
+    d = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(rows)], "doc_id bigint, lang string, text string")
+    assert len(quality.references(d, quality.QualityParams())) == 71
+    got = quality.quality_report(d).join(d.select("doc_id", "lang"), "doc_id").collect()
+    assert [(r.lang, r.n_words) for r in got if not r.kept] == [("ru", 2)]
+    assert all((r.class_distance is None) == (r.lang in (None, "el", "ru")) for r in got)

@@ -11,11 +11,10 @@ distance (base 2, so 0 to 1):
 
 References are grouped aggregates over all documents of a language: for the classes
 the median over documents of each class's share (a minority of junk moves it little),
-for words the summed counts. Languages
-beyond `max_languages` (by number of documents), with fewer than
-`min_reference_docs` documents, or null, have none of their own; their documents are
-held against the nearest of all references, one pooled over such documents included. So
-the broadcast is bounded by (max_languages + 1) * (classes + common words).
+for words the summed counts. Every language of `min_reference_docs` documents or more has
+its own; documents of a smaller or null language have too few of their kind to be judged by,
+so the base rules alone decide. The broadcast grows with the number of such languages,
+by classes + common words each.
 
 Edge cases. Null or empty text: no words, base_failed (fewer than `min_words`),
 kept false. A text shorter than `min_chars` or `min_judged_words` isn't judged by
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, as_texts, map_arrow
+from ._shared import as_bytes, map_arrow
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL_BYTES = SYMBOLS.encode()
@@ -47,7 +46,6 @@ class QualityParams:
     max_repeat_percent: int = 20
     window: int = 5
     common_words: int = 60
-    max_languages: int = 64
     min_reference_docs: int = 20
     min_chars: int = 120
     min_judged_words: int = 20
@@ -140,21 +138,18 @@ def measures(data: bytes, window: int) -> tuple[int, int, int, int, int, list[by
     return len(words), len(joined) - chars, symbols, dup, repeated_words(words, window), words
 
 
-def references(docs: DataFrame, params: QualityParams) -> dict[str | None, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """Per language, and pooled under None: class histogram, index of its common words, word histogram (last bin: other words)."""
-    langs = [r[0] for r in docs.where("lang is not null").groupBy("lang").count().where(F.col("count") >= params.min_reference_docs).orderBy(F.desc("count"), "lang").limit(params.max_languages).collect()]
+def references(docs: DataFrame, params: QualityParams) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
+    """Per language: class histogram, index of its common words, word histogram (last bin: other words)."""
+    langs = [r[0] for r in docs.where("lang is not null").groupBy("lang").count().where(F.col("count") >= params.min_reference_docs).collect()]
     known = set(langs)
 
-    def key_of(lang):
-        return lang if lang in known else ""
-
     def shares(batches):
         for b in batches:
             keys, rows = [], []
-            for lang, data in zip(as_texts(b.column("lang")), as_bytes(b.column("text")), strict=True):
-                if len(data) >= params.min_chars:
+            for lang, data in zip(b.column("lang").to_pylist(), as_bytes(b.column("text")), strict=True):
+                if lang in known and len(data) >= params.min_chars:
                     h = class_histogram(data)
-                    keys.append(key_of(lang))
+                    keys.append(lang)
                     rows.append(h / h.sum())
             cols = np.array(rows).reshape(-1, CLASSES)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(cols[:, i]) for i in range(CLASSES))], ["key", *(f"c{i}" for i in range(CLASSES))])
@@ -162,8 +157,9 @@ def references(docs: DataFrame, params: QualityParams) -> dict[str | None, tuple
     def count(batches):
         for b in batches:
             words: dict = {}
-            for lang, data in zip(as_texts(b.column("lang")), as_bytes(b.column("text")), strict=True):
-                words.setdefault(key_of(lang), Counter()).update(word_forms(data.split()))
+            for lang, data in zip(b.column("lang").to_pylist(), as_bytes(b.column("text")), strict=True):
+                if lang in known:
+                    words.setdefault(lang, Counter()).update(word_forms(data.split()))
             rows = [(k, w, n) for k, c in words.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["key", "word", "n"])
 
@@ -184,19 +180,10 @@ def references(docs: DataFrame, params: QualityParams) -> dict[str | None, tuple
             top = top.withColumn("key_total", F.sum(F.when(F.col("r") == 1, F.col("salt_total"))).over(Window.partitionBy("key")))
     rows = top.select("key", "word", "n", "key_total").collect()  # bounded: languages * common words
 
-    refs: dict = {}
-    pooled_words, pooled_total = Counter(), 0
-    for key in [*langs, ""]:
-        own = [r for r in rows if r["key"] == key]
-        words = {bytes(r["word"]): r["n"] for r in own}
-        total_words = own[0]["key_total"] if own else 0
-        if key:
-            refs[key] = _reference(_shares(per_key.get(key)), words, total_words)
-        else:
-            pooled_words, pooled_total = Counter(words), total_words
-    if "" in per_key:
-        refs[None] = _reference(_shares(per_key.get("")), dict(sorted(pooled_words.items(), key=lambda x: (-x[1], x[0]))[: params.common_words]), pooled_total)
-    return refs
+    common: dict = {}
+    for r in rows:
+        common.setdefault(r["key"], ({}, r["key_total"]))[0][bytes(r["word"])] = r["n"]
+    return {lang: _reference(_shares(per_key.get(lang)), *common.get(lang, ({}, 0))) for lang in langs}
 
 
 def _shares(row) -> np.ndarray:
@@ -214,16 +201,13 @@ def judge(data: bytes, lang: str | None, refs: dict, params: QualityParams) -> t
     n, chars, symbols, dup, repeat, words = measures(data, params.window)
     failed = n < params.min_words or 100 * repeat > params.max_repeat_percent * n
     class_d = word_d = None
-    if n >= params.min_judged_words and len(data) >= params.min_chars:
+    if lang in refs and n >= params.min_judged_words and len(data) >= params.min_chars:
         forms, shares = word_forms(words), class_histogram(data)
-        found = []
-        for classes, index, hist in [refs[lang]] if lang in refs and lang is not None else refs.values():
-            own = np.zeros(len(hist))
-            for w, k in forms.items():
-                own[index.get(w, len(index))] += k
-            found.append((js_distance(shares, classes), js_distance(own, hist)))
-        if found:
-            class_d, word_d = min(found, key=lambda d: d[0] / params.max_class_distance + d[1] / params.max_word_distance)
+        classes, index, hist = refs[lang]
+        own = np.zeros(len(hist))
+        for w, k in forms.items():
+            own[index.get(w, len(index))] += k
+        class_d, word_d = js_distance(shares, classes), js_distance(own, hist)
     kept = not failed and not (class_d is not None and (class_d > params.max_class_distance or word_d > params.max_word_distance))
     return n, chars, symbols, dup, repeat, failed, kept, class_d, word_d
 
