@@ -2,7 +2,7 @@
 
 import random
 
-from textloom.llm import ngram_join, quality
+from textloom.llm import language_id, ngram_join, quality
 
 
 # near duplicates where ids repeat or are null
@@ -47,3 +47,19 @@ def test_rare_languages_keep_clean_documents(spark):
     got = quality.quality_report(d).join(d.select("doc_id", "lang"), "doc_id").collect()
     assert [(r.lang, r.n_words) for r in got if not r.kept] == [("ru", 2)]
     assert all((r.class_distance is None) == (r.lang in (None, "el", "ru")) for r in got)
+
+
+# language identification with many languages
+
+
+def test_every_labelled_language_is_fitted(spark):
+    names = [f"q{chr(97 + k)}" for k in range(20)]
+    letters = [chr(0x4E00 + 12 * k) + chr(0x4E01 + 12 * k) for k in range(20)]
+    rows = [(k * 30 + i, " ".join([letters[k], letters[k][::-1]] * 10), names[k]) for k in range(20) for i in range(25 - k)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == names
+    page = '<html lang="{}"><body><p>{}</p></body></html>'
+    pages = [(k, f"http://h{k}.example/", page.format(names[k], letters[k] * 3)) for k in range(20)]
+    pages += [(20, "http://p.example/", page.format(names[19], "12")), (21, "http://p.example/", page.format("xx", letters[18]))]
+    got = {r.page_id: (r.language, r.declared) for r in language_id.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string"), model).collect()}
+    assert got == {k: (names[k], names[k]) for k in range(20)} | {20: (names[19], names[19]), 21: (names[18], "xx")}

@@ -12,13 +12,13 @@ log P(language | page) = text + declared + host prior, where
   share is (own sum + strength * parent's share) / (own count + strength). The page's own
   posterior is taken out of the sums first, so it isn't evidence for itself.
 
-The n-gram models are fitted on a bounded sample: `train_docs` labelled documents
-a language of at most `train_bytes` bytes each, chosen by a hash of the id; at most
-`max_languages` languages, the most frequent first. All other counts cover all pages.
+The n-gram models are fitted for every labelled language on a bounded sample: `train_docs`
+documents a language of at most `train_bytes` bytes each, chosen by a hash of the id. All
+other counts cover all pages.
 
 Edge cases. Null or empty html: no text evidence, so declaration and host prior decide.
 Null or unparsable url: host and suffix empty, a group of their own. No or
-unknown declaration: no such evidence. Ties go to the alphabetically first
+unknown declaration: no such evidence; an unknown one is still reported. Ties go to the alphabetically first
 language. Without labelled documents every language is null. Whole texts are scored.
 """
 
@@ -42,7 +42,6 @@ from .url_filter import host_of
 class Params:
     train_docs: int = 300
     train_bytes: int = 20_000
-    max_languages: int = 16
     text_weight: float = 40.0
     declared_trust: float = 0.9
     declared_strength: float = 20.0
@@ -107,9 +106,9 @@ def fit(labelled: DataFrame, params: Params = Params()) -> TextModel:
     from pyspark.sql import Window
 
     rows = labelled.where("lang is not null and text is not null")
-    langs = sorted(r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_languages).collect())
+    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     counts: dict[str, Counter] = {lang: Counter() for lang in langs}
-    d = rows.where(F.col("lang").isin(langs) & (F.octet_length("text") <= params.train_bytes)) if langs else rows.limit(0)
+    d = rows.where(F.octet_length("text") <= params.train_bytes)
     # top rows by hash within salts, then overall: no window holds a language's documents
     key = F.xxhash64("doc_id", F.lit(7))
     ids = d.select("doc_id", "lang", key.alias("h"), F.pmod(key, F.lit(64)).alias("salt"))
@@ -129,8 +128,8 @@ def _softmax(v: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
 
 
-def _plus(n: int, a, b) -> Column:
-    return F.array(*(a[i] + b[i] for i in range(n)))
+def _plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
 
 
 def identify(pages: DataFrame, model: TextModel, params: Params = Params()) -> DataFrame:
@@ -148,8 +147,7 @@ def identify(pages: DataFrame, model: TextModel, params: Params = Params()) -> D
             declared, words, ll = [], [], []
             for page in as_texts(b.column("html")):
                 tag = _HTML.search(page)
-                d = tag[1].lower() if tag else None
-                declared.append(d if d in m.languages else None)
+                declared.append(tag[1].lower() if tag else None)
                 k, v = m.text(page_text(page))
                 words.append(k)
                 ll.append((v * min(k, params.text_weight)).tolist())
@@ -166,13 +164,15 @@ def identify(pages: DataFrame, model: TextModel, params: Params = Params()) -> D
     all_share = [((total[f"s{i}"] or 0.0) + 1.0) / ((total["w"] or 0.0) + n) for i in range(n)]
 
     # declared given language: at most languages^2 cells
-    cells = {r["declared"]: r for r in scored.where("declared is not null").groupBy("declared").agg(*sums).collect()}
+    known = spark.createDataFrame([(x,) for x in langs], "declared string")
+    cells = {r["declared"]: r for r in scored.join(F.broadcast(known), "declared", "left_semi").groupBy("declared").agg(*sums).collect()}
     given = np.zeros((n, n))
     for i, lang in enumerate(langs):
         seen = np.array([(cells[d][f"s{i}"] or 0.0) if d in cells else 0.0 for d in langs])
         belief = np.array([params.declared_trust if d == lang else (1 - params.declared_trust) / max(1, n - 1) for d in langs])
         given[i] = (seen + params.declared_strength * belief) / (seen.sum() + params.declared_strength)
-    evidence = F.create_map(*(x for j, d in enumerate(langs) for x in (F.lit(d), F.array(*(F.lit(float(np.log(max(given[i, j], 1e-12)))) for i in range(n))))))
+    said = np.log(np.maximum(given, 1e-12)).T.tolist()
+    evidence = spark.createDataFrame(list(zip(langs, said, strict=True)), "declared string, said array<double>")
 
     a = params.prior_strength
     suffix = scored.groupBy("suffix").agg(F.sum("w").alias("sw"), *sums).select("suffix", "sw", F.array(*(f"s{i}" for i in range(n))).alias("ss"))
@@ -181,14 +181,16 @@ def identify(pages: DataFrame, model: TextModel, params: Params = Params()) -> D
     priors = F.broadcast(priors) if priors.count() <= BROADCAST_ROWS // 10 else priors
     d = scored.join(priors, "host")
 
-    def prior(i: int) -> Column:
-        own = F.col("w") * F.col("post")[i]
-        at_suffix = (F.col("ss")[i] - own + a * all_share[i]) / (F.col("sw") - F.col("w") + a)
-        return (F.col("hs")[i] - own + a * at_suffix) / (F.col("hw") - F.col("w") + a)
+    share = F.array(*(F.lit(float(x)) for x in all_share))
 
-    logs = F.array(*(F.log(F.greatest(prior(i), F.lit(1e-12))) for i in range(n)))
-    d = d.withColumn("prior", logs).withColumn("said", F.coalesce(F.try_element_at(evidence, F.col("declared")), F.array(*[F.lit(0.0)] * n)))
-    d = d.withColumn("total", _plus(n, _plus(n, F.col("ll"), F.col("prior")), F.col("said"))).withColumn("fused", _softmax(F.col("total")))
+    def prior(x: Column, i: Column) -> Column:
+        own = F.col("w") * x
+        at_suffix = (F.get("ss", i) - own + a * F.get(share, i)) / (F.col("sw") - F.col("w") + a)
+        return F.log(F.greatest((F.get("hs", i) - own + a * at_suffix) / (F.col("hw") - F.col("w") + a), F.lit(1e-12)))
+
+    d = d.withColumn("prior", F.transform("post", prior)).join(F.broadcast(evidence), "declared", "left")
+    d = d.withColumn("said", F.coalesce("said", F.array_repeat(F.lit(0.0), n)))
+    d = d.withColumn("total", _plus(_plus(F.col("ll"), F.col("prior")), F.col("said"))).withColumn("fused", _softmax(F.col("total")))
     names = F.array(*(F.lit(x) for x in langs))
 
     def best(v: Column) -> Column:
