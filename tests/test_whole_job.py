@@ -41,3 +41,10 @@ def test_place_graph_holds_every_supplier(spark, places):
     assert got == {tuple(sorted(x)) for x in links} and any("sup_80" in x for x in got)
     want = brute_distances(links)
     assert {(r.source, r.id): r.distance for r in catalogue.QUERIES["bfs_paths"](spark, folder).collect()} == want
+
+
+def test_normalize_unicode_folds_the_whole_text(spark, tmp_path):
+    text = "ção " * 200
+    spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.folded for r in catalogue.QUERIES["normalize_unicode"](spark, str(tmp_path)).collect()}
+    assert got == {1: "cao " * 200, 2: None}

@@ -121,7 +121,7 @@ ACCENTED, PLAIN = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉ
 @query(rf"SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(text), '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS nfc, translate(substr(text, 1, 300), '{ACCENTED}', '{PLAIN}') AS folded FROM documents")
 def normalize_unicode(spark: SparkSession, sf: str) -> DataFrame:
     nfc = tx.normalize_unicode("NFC", "space")
-    return texts(spark, sf).select("doc_id", nfc("text").alias("nfc"), tx.fold_accents(F.substring("text", 1, 300)).alias("folded"))
+    return texts(spark, sf).select("doc_id", nfc("text").alias("nfc"), tx.fold_accents("text").alias("folded"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\n\s*\n', chr(10), 'g'), '[ \t]+', ' ', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS t FROM documents)
