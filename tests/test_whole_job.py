@@ -48,3 +48,20 @@ def test_normalize_unicode_folds_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.folded for r in catalogue.QUERIES["normalize_unicode"](spark, str(tmp_path)).collect()}
     assert got == {1: "cao " * 200, 2: None}
+
+
+def test_tfidf_svd_embed_has_the_reference_sizes(spark, sf, monkeypatch):
+    import inspect
+
+    from textloom.plans import concept_queries
+
+    signature, seen = inspect.signature(concept_queries.vc.tfidf_svd), {}
+
+    def stand_in(*args, **kwargs):
+        seen.update(signature.bind(*args, **kwargs).arguments)
+        return spark.createDataFrame([(1, [1.0])], "doc_id bigint, vector array<double>")
+
+    monkeypatch.setattr(concept_queries.vc, "tfidf_svd", stand_in)
+    catalogue.QUERIES["tfidf_svd_embed"](spark, sf)
+    sizes = {k: seen.get(k, signature.parameters[k].default) for k in ("dimensions", "max_features")}
+    assert sizes == {"dimensions": 384, "max_features": 5000}

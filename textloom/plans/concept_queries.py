@@ -215,5 +215,5 @@ def relevance_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def tfidf_svd_embed(spark: SparkSession, sf: str) -> DataFrame:
-    v = vc.tfidf_svd(docs(spark, sf), dimensions=16, max_features=500)
+    v = vc.tfidf_svd(docs(spark, sf))
     return v.select("doc_id", F.size("vector").alias("dimensions"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length"))
