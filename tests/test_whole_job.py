@@ -65,3 +65,26 @@ def test_tfidf_svd_embed_has_the_reference_sizes(spark, sf, monkeypatch):
     catalogue.QUERIES["tfidf_svd_embed"](spark, sf)
     sizes = {k: seen.get(k, signature.parameters[k].default) for k in ("dimensions", "max_features")}
     assert sizes == {"dimensions": 384, "max_features": 5000}
+
+
+def test_betweenness_takes_a_hundred_pivots(spark, sf, tmp_path):
+    for name in ("region", "nation"):
+        table(spark, sf, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(i, f"s{i}", i % 25) for i in range(1, 51)], "s_suppkey bigint, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.id: r.betweenness for r in catalogue.QUERIES["betweenness"](spark, str(tmp_path)).collect()}
+    # 80 nodes, all of them pivots: exact, so leaves lie on no path and all nations have some
+    links = {("reg_" + str(r.n_regionkey), "nat_" + str(r.n_nationkey)) for r in table(spark, sf, "nation").collect()}
+    links |= {(f"nat_{i}", f"nat_{(i + 1) % 25}") for i in range(25)} | {(f"nat_{i % 25}", f"sup_{i}") for i in range(1, 51)}
+    assert got == pytest.approx(brute_betweenness(links), abs=2e-6)
+
+
+def brute_betweenness(links):
+    dist, near, count = brute_distances(links), {}, {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for s, v in sorted(dist, key=lambda x: dist[x]):
+        count[s, v] = 1 if s == v else sum(count[s, w] for w in near[v] if dist[s, w] == dist[s, v] - 1)
+    n = len(near)
+    total = {v: sum(count[s, v] * count[v, t] / count[s, t] for s in near for t in near if v not in (s, t) and s != t and dist[s, v] + dist[v, t] == dist[s, t]) for v in near}
+    return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}

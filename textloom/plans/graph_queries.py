@@ -271,7 +271,7 @@ def eigenvector(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    return paths.betweenness(place_graph(spark, sf), k=40).select("id", *r6("betweenness"))
+    return paths.betweenness(place_graph(spark, sf)).select("id", *r6("betweenness"))
 
 
 @query()
