@@ -396,15 +396,55 @@ def near_copies(seed=7):
     return out + ["", "a", "A", "a b", "a  B"]
 
 
-@pytest.mark.parametrize(("k", "num", "den", "hot"), [(3, 90, 100, 32), (5, 80, 100, 32), (3, 90, 100, 4), (2, 50, 100, 6)])
-def test_ngram_join(spark, docs, texts, k, num, den, hot):
+@pytest.mark.parametrize(("k", "num", "den", "sample"), [(3, 90, 100, 16), (5, 80, 100, 16), (3, 90, 100, 2), (2, 50, 100, 1)])
+def test_ngram_join(spark, docs, texts, k, num, den, sample):
     more = {60_000 + i: t for i, t in enumerate(near_copies())}
     every = texts | more
     d = spark.createDataFrame(list(every.items()), "doc_id bigint, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(d, ngram_join.Params(shingle=k, num=num, den=den, hot_df=hot, pivot_df=2, site_rows=8)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(d, ngram_join.Params(shingle=k, num=num, den=den, sample=sample, pivot_df=2, site_rows=8)).collect()}
     assert got == brute_components(every, k, num, den)
 
 
+def test_class_links(spark, texts):
+    every = texts | {60_000 + i: t for i, t in enumerate(near_copies())}
+    d = spark.createDataFrame(list(every.items()), "doc_id bigint, text string")
+    for k, num, den in ((3, 90, 100), (5, 80, 100)):
+        got = [tuple(r) for r in ngram_join.class_links(d, ngram_join.Params(shingle=k, num=num, den=den, sample=2)).collect()]
+        sets = {}
+        for i, t in sorted(every.items()):
+            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t))
+            s = frozenset(zip(*(w[j:] for j in range(k)), strict=False)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+            if s and s not in sets.values():
+                sets[i] = s
+        post = defaultdict(list)
+        for i, s in sets.items():
+            for g in s:
+                post[g].append(i)
+        want = {(j, i) for i, s in sets.items() for j, n in Counter(j for g in s for j in post[g] if j < i).items() if den * n >= num * (len(s) + len(sets[j]) - n)}
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_ngram_join_group_of_near_copies(spark):
+    """Candidates of a group of near copies of one original stay about its size, not its square."""
+    rng = random.Random(3)
+    base = [f"b{rng.randrange(5000)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1200):
+        x = list(base)
+        for _ in range(rng.randint(1, 5)):
+            x[rng.randrange(len(x))] = f"own{rng.randrange(10**6)}"
+        rows.append((i, " ".join(x)))
+    d, p = spark.createDataFrame(rows, "doc_id bigint, text string"), ngram_join.Params()
+    texts = d.select(F.col("doc_id").alias("node"), "text")
+    _, classed = ngram_join._classed(texts, p)
+    shared = ngram_join._shared_tokens(classed, p)
+    chosen = ngram_join._chosen(shared, p)
+    links = ngram_join._verified(ngram_join._pivots(shared, chosen, p), texts, p)
+    assert ngram_join._candidates(shared, chosen, connected_components(links), p).count() < 4 * len(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(d, p).collect()}
+    assert got == brute_components(dict(rows), 3, 90, 100)
+
+
 def test_ngram_join_repeated_ids(spark):
     d = spark.createDataFrame([(1, "a b c d"), (1, "x y z q"), (2, "X y z q"), (None, "a b c d"), (3, None), (None, None)], "doc_id bigint, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(d).collect()), key=str)

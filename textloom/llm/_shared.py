@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import checkpointed, fresh_path, shared_dir, written
+from ..lineage import checkpointed, discard, fresh_path, shared_dir, written
 from ..operators.components import connected_components
 
 _PACKAGE_ROOT = Path(__file__).resolve().parents[2]
@@ -20,6 +20,10 @@ _PACKAGE_ROOT = Path(__file__).resolve().parents[2]
 # Rows up to which a one-column id table may be broadcast (8 to 40 bytes a row).
 BROADCAST_ROWS = 1_000_000
 
+# Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship_package(spark: SparkSession) -> None:
     """Give the executors' Python this package, unless their path has it already."""
@@ -38,7 +42,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    ship_package(df.sparkSession)
+    """mapInArrow in batches of at most BATCH_BYTES, so that long texts don't add up in a worker; a setting of the session's own stays."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
@@ -74,4 +82,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["BROADCAST_ROWS", "as_bytes", "as_texts", "checkpointed", "connected_components", "fresh_path", "input_bytes", "map_arrow", "restrict", "shared_dir", "ship_package", "table", "written"]
+__all__ = ["BROADCAST_ROWS", "as_bytes", "as_texts", "checkpointed", "connected_components", "discard", "fresh_path", "input_bytes", "map_arrow", "restrict", "shared_dir", "ship_package", "table", "written"]
