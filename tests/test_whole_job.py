@@ -88,3 +88,20 @@ def brute_betweenness(links):
     n = len(near)
     total = {v: sum(count[s, v] * count[v, t] / count[s, t] for s in near for t in near if v not in (s, t) and s != t and dist[s, v] + dist[v, t] == dist[s, t]) for v in near}
     return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}
+
+
+def test_louvain_in_one_task_and_on_tables(spark):
+    """Four groups joined by a ring: both ways find partitions of high modularity that cover every node."""
+    from textloom.operators import community
+    from textloom.operators.graph import Graph
+
+    ids = [f"{g}{i}" for g in "abcd" for i in range(6)] + ["lone"]
+    links = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abcd" for i in range(6) for j in range(i)] + [("a0", "b0", 1.0), ("b1", "c1", 1.0), ("c2", "d2", 1.0), ("d3", "a3", 1.0), ("a0", "a0", 0.5)]
+    nodes = spark.createDataFrame([(i, "document", i) for i in ids], "id string, node_type string, label string")
+    g = Graph(nodes, spark.createDataFrame(links, "src string, dst string, weight double").selectExpr("least(src, dst) src", "greatest(src, dst) dst", "weight", "'x' edge_type"))
+    want = {i: (f"{i[0]}0" if i != "lone" else i) for i in ids}
+    assert {r.id: r.community for r in community.louvain(g).collect()} == want
+    far = {r.id: r.community for r in community.louvain(g, local_links=0).collect()}
+    assert set(far) == set(ids) and far["lone"] == "lone" and all(far[c] == c for c in far.values())
+    assert community.modularity(g, spark.createDataFrame(list(far.items()), "id string, community string")).first()[0] > 0.5
+    assert community.louvain(Graph(nodes, g.edges.limit(0))).where("id <> community").count() == 0

@@ -46,4 +46,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    done = df.checkpoint()
+    # as a plain table of rows: constraints that a checkpoint carries on multiply over the rounds of a loop
+    session = df.sparkSession
+    execution = done._jdf.queryExecution()
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(execution.toRdd(), execution.analyzed().schema(), False), session)

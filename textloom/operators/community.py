@@ -43,58 +43,139 @@ def modularity(g: Graph, partition: DataFrame) -> DataFrame:
     return part.agg(F.round(F.coalesce(F.sum(F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), 2)), F.lit(0.0)), 6).alias("modularity"))
 
 
-def louvain(g: Graph, max_levels: int = 10, max_rounds: int = 10) -> DataFrame:
-    """id, community (its least id). Local moves by modularity gain on DataFrames, then contraction, until nothing gains.
+# Links up to which a graph is partitioned in one task (about 200 bytes a link there).
+LOCAL_LINKS = 500_000
 
-    In a round, half of the nodes (by hash) may move, each to the neighbour community of
-    greatest gain (ties: the least); a level ends when both halves rest. A level whose moves
-    lower modularity is dropped, so the result is at least as good as singletons.
-    """
-    names = checkpointed(g.nodes.select("id", F.col("id").alias("c")))
-    edges = checkpointed(g.edges.select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("w")).where("w > 0"))
-    two_m = 2.0 * (edges.agg(F.sum("w")).first()[0] or 0.0)
-    if two_m == 0:
-        return names.select("id", F.col("c").alias("community"))
 
-    def quality(both: DataFrame, lab: DataFrame) -> float:
-        x = both.join(lab.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src").join(lab.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
-        per = x.groupBy("cs").agg(F.sum(F.when(F.col("cs") == F.col("cd"), F.col("w")).otherwise(0.0)).alias("i"), F.sum("w").alias("d"))
-        return per.agg(F.sum(F.col("i") / two_m - F.pow(F.col("d") / two_m, 2))).first()[0] or 0.0
+class _Local:
+    """Louvain on a small graph: nodes move one by one, in order of their names, to the neighbour community of greatest gain."""
+
+    def __init__(self, links: list[tuple]):
+        self.near: dict = {}
+        for a, b, w in links:
+            for x, y in ((a, b), (b, a)):  # a loop counts twice in its node's degree
+                row = self.near.setdefault(x, {})
+                row[y] = row.get(y, 0.0) + w
+        self.two_m = sum(map(sum, (r.values() for r in self.near.values())))
+
+    def moved(self) -> dict:
+        """node -> community after moves until none gains."""
+        degree = {v: sum(r.values()) for v, r in self.near.items()}
+        at, total = {v: v for v in self.near}, dict(degree)
+        nodes, busy = sorted(self.near), True
+        while busy:
+            busy = False
+            for v in nodes:
+                k, to = degree[v], {at[v]: 0.0}
+                for u, w in self.near[v].items():
+                    if u != v:
+                        to[at[u]] = to.get(at[u], 0.0) + w
+                total[at[v]] -= k
+                best, stay = min((-round(w - k * total[c] / self.two_m, 9), c) for c, w in to.items()), round(to[at[v]] - k * total[at[v]] / self.two_m, 9)
+                if -best[0] > stay:
+                    at[v], busy = best[1], True
+                total[at[v]] += k
+        return at
+
+    def partition(self) -> dict:
+        """node -> the least node of its community, level by level until nothing gains."""
+        names, graph = {v: v for v in self.near}, self
+        while True:
+            at = graph.moved()
+            least: dict = {}
+            for v, c in at.items():
+                least[c] = min(v, least.get(c, v))
+            if len(least) == len(at):
+                return names
+            names = {v: least[at[c]] for v, c in names.items()}
+            # both directions are there, so half of each sum
+            sums: dict = {}
+            for v, row in graph.near.items():
+                for u, w in row.items():
+                    key = (least[at[v]], least[at[u]])
+                    sums[key] = sums.get(key, 0.0) + w / 2
+            graph = _Local([(a, b, w) for (a, b), w in sums.items()])
+
 
+def _local_louvain(edges: DataFrame) -> DataFrame:
+    """edges(src, dst, w), few enough for one task -> v, c."""
+    import pyarrow as pa
+
+    def run(batches):
+        links = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("src", "dst", "w")), strict=True)]
+        found = sorted(_Local(links).partition().items())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["v", "c"])
+
+    return checkpointed(edges.select(F.col("src").cast("string"), F.col("dst").cast("string"), "w").coalesce(1).mapInArrow(run, "v string, c string"))
+
+
+def louvain(g: Graph, max_levels: int = 10, max_rounds: int = 10, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """id, community (its least id). Moves by modularity gain, then contraction, until nothing gains.
+
+    A graph of more than local_links links is coarsened on DataFrames: in a round, half of the nodes (by hash)
+    may move, each to the neighbour community of greatest gain (ties: the least); a level ends when both
+    halves rest, and one that gains nothing ends the coarsening. What fits local_links (counted) is partitioned in one task.
+    Nodes without links stay alone.
+    """
+    names = g.nodes.select("id", F.col("id").alias("c"))
+    edges = checkpointed(g.edges.select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("w")).where("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    size = edges.count()
     for _ in range(max_levels):
-        # a loop counts twice in its node's degree
-        both = checkpointed(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
-        k = checkpointed(both.groupBy("src").agg(F.sum("w").alias("k")))
-        lab = checkpointed(names.select(F.col("c").alias("v")).distinct().select("v", F.col("v").alias("c"), F.pmod(F.xxhash64("v"), F.lit(2)).alias("turn")))
-        start, before, quiet = lab, quality(both, lab), 0
-        for r in range(max_rounds):
-            tot = lab.join(k.withColumnRenamed("src", "v"), "v").groupBy("c").agg(F.sum("k").alias("tot"))
-            to = both.where("src <> dst").join(lab.select(F.col("v").alias("dst"), F.col("c").alias("nc")), "dst").groupBy(F.col("src").alias("v"), "nc").agg(F.sum("w").alias("w"))
-            now = lab.where(F.col("turn") == r % 2).join(k.withColumnRenamed("src", "v"), "v")
-            own = now.select("v", F.col("c").alias("nc"), F.lit(0.0).alias("w"))
-            choice = to.join(now.select("v"), "v", "left_semi").unionByName(own).groupBy("v", "nc").agg(F.sum("w").alias("w"))
-            scored = choice.join(now.select("v", "c", "k"), "v").join(tot.withColumnRenamed("c", "nc"), "nc", "left")
-            rest = F.coalesce("tot", F.lit(0.0)) - F.when(F.col("nc") == F.col("c"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("w") - F.col("k") * rest / two_m, 9)
-            best = scored.select("v", "c", "nc", gain.alias("gain")).groupBy("v", "c").agg(F.min(F.struct((-F.col("gain")).alias("g"), "nc")).alias("b"), F.max(F.when(F.col("nc") == F.col("c"), F.col("gain"))).alias("stay"))
-            moved = best.where((-F.col("b.g")) > F.col("stay")).select("v", F.col("b.nc").alias("new"))
-            nxt = checkpointed(lab.join(moved, "v", "left").select("v", F.coalesce("new", "c").alias("c"), "turn", F.col("new").isNotNull().alias("m")))
-            quiet = 0 if nxt.where("m").take(1) else quiet + 1
-            lab = nxt.drop("m")
-            if quiet == 2:
-                break
-        after = quality(both, lab)
-        if after <= before + 1e-7:
-            lab = start
+        if size <= local_links:
             break
-        least = lab.groupBy("c").agg(F.min("v").alias("least"))
-        lab = checkpointed(lab.join(least, "c").select("v", F.col("least").alias("c")))
-        names = checkpointed(names.join(lab.withColumnRenamed("c", "n"), names["c"] == lab["v"]).select("id", F.col("n").alias("c")))
-        edges = checkpointed(edges.join(lab.select(F.col("v").alias("src"), F.col("c").alias("a")), "src").join(lab.select(F.col("v").alias("dst"), F.col("c").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").groupBy("src", "dst").agg(F.sum("w").alias("w")))
+        lab = _level(edges, max_rounds)
+        if lab is None:
+            break
+        names, edges = _contracted(names, edges, lab)
+        size = edges.count()
+    if 0 < size <= local_links:
+        names, _ = _contracted(names, edges, _local_louvain(edges))
     least = names.groupBy("c").agg(F.min("id").alias("community"))
     return names.join(least, "c").select("id", "community")
 
 
+def _contracted(names: DataFrame, edges: DataFrame, lab: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """names(id, c) and edges after each node v has become its community lab(v, c)."""
+    names = checkpointed(names.join(lab.select(F.col("v").alias("c"), F.col("c").alias("n")), "c", "left").select("id", F.coalesce("n", "c").alias("c")))
+    to = lambda end, name: lab.select(F.col("v").alias(end), F.col("c").alias(name))
+    return names, checkpointed(edges.join(to("src", "a"), "src").join(to("dst", "b"), "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("w")))
+
+
+def _level(edges: DataFrame, max_rounds: int) -> DataFrame | None:
+    """v, c: communities by the least of their nodes; None if the moves gain nothing."""
+    both = checkpointed(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    k = checkpointed(both.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k")))
+    two_m = k.agg(F.sum("k")).first()[0]
+
+    def quality(lab: DataFrame) -> float:
+        x = both.join(lab.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src").join(lab.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
+        per = x.groupBy("cs").agg(F.sum(F.when(F.col("cs") == F.col("cd"), F.col("w")).otherwise(0.0)).alias("i"), F.sum("w").alias("d"))
+        return per.agg(F.sum(F.col("i") / two_m - F.pow(F.col("d") / two_m, 2))).first()[0]
+
+    start = lab = k.select("v", F.col("v").alias("c"), F.pmod(F.xxhash64("v"), F.lit(2)).alias("turn"))
+    quiet = 0
+    for r in range(max_rounds):
+        tot = lab.join(k, "v").groupBy("c").agg(F.sum("k").alias("tot"))
+        to = both.where("src <> dst").join(lab.select(F.col("v").alias("dst"), F.col("c").alias("nc")), "dst").groupBy(F.col("src").alias("v"), "nc").agg(F.sum("w").alias("w"))
+        now = lab.where(F.col("turn") == r % 2).join(k, "v")
+        own = now.select("v", F.col("c").alias("nc"), F.lit(0.0).alias("w"))
+        choice = to.join(now.select("v"), "v", "left_semi").unionByName(own).groupBy("v", "nc").agg(F.sum("w").alias("w"))
+        scored = choice.join(now.select("v", "c", "k"), "v").join(tot.withColumnRenamed("c", "nc"), "nc", "left")
+        rest = F.coalesce("tot", F.lit(0.0)) - F.when(F.col("nc") == F.col("c"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - F.col("k") * rest / two_m, 9)
+        best = scored.select("v", "c", "nc", gain.alias("gain")).groupBy("v", "c").agg(F.min(F.struct((-F.col("gain")).alias("g"), "nc")).alias("b"), F.max(F.when(F.col("nc") == F.col("c"), F.col("gain"))).alias("stay"))
+        moved = best.where((-F.col("b.g")) > F.col("stay")).select("v", F.col("b.nc").alias("new"))
+        nxt = checkpointed(lab.join(moved, "v", "left").select("v", F.coalesce("new", "c").alias("c"), "turn", F.col("new").isNotNull().alias("m")))
+        quiet = 0 if nxt.where("m").take(1) else quiet + 1
+        lab = nxt.drop("m")
+        if quiet == 2:
+            break
+    if quality(lab) <= quality(start) + 1e-7:
+        return None
+    least = lab.groupBy("c").agg(F.min("v").alias("least"))
+    return checkpointed(lab.join(least, "c").select("v", F.col("least").alias("c")))
+
+
 def girvan_newman(g: Graph, communities: int = 10, max_nodes: int = 300) -> DataFrame:
     """id, community: the edge of highest betweenness is removed until the graph falls into that many parts.
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import lineage
 from ..functions import vectors as vx
 from ..functions.graph import edge_id, md5_id
 from ..operators import community, export, paths, rank
@@ -69,8 +70,8 @@ raw_edges AS (SELECT 'sim' AS k, 'doc_' || a AS s, 'doc_' || b AS d, 'similarity
 UNION ALL SELECT 'rel', 'doc_' || vec_id, 'con_' || label, 'relevance', (0.5 + vec_id % 5 / 10.0)::DOUBLE FROM embeddings UNION ALL SELECT 'hier', 'doc_' || conv_id, 'sec_' || conv_id || '_' || turn, 'hierarchical', 1.0 FROM turns
 UNION ALL SELECT 'cooc', 'con_' || least(la, lb), 'con_' || greatest(la, lb), 'cooccurrence', (count(*) / 10.0)::DOUBLE FROM sims WHERE la <> lb GROUP BY least(la, lb), greatest(la, lb)),
 edges AS (SELECT k || '_' || s || '_' || d AS id, least(s, d) AS src, greatest(s, d) AS dst, edge_type, weight FROM raw_edges)"""
-P = """nodes AS (SELECT 'reg_' || r_regionkey AS id, 'concept' AS node_type, r_name AS label FROM region UNION ALL SELECT 'nat_' || n_nationkey, 'document', n_name FROM nation UNION ALL SELECT 'sup_' || s_suppkey, 'entity', s_name FROM supplier WHERE s_suppkey <= 60),
-raw_edges AS (SELECT 'reg_' || n_regionkey AS s, 'nat_' || n_nationkey AS d, 'relevance' AS edge_type, 1.0::DOUBLE AS weight FROM nation UNION ALL SELECT 'nat_' || s_nationkey, 'sup_' || s_suppkey, 'hierarchical', 1.0 FROM supplier WHERE s_suppkey <= 60
+P = """nodes AS (SELECT 'reg_' || r_regionkey AS id, 'concept' AS node_type, r_name AS label FROM region UNION ALL SELECT 'nat_' || n_nationkey, 'document', n_name FROM nation UNION ALL SELECT 'sup_' || s_suppkey, 'entity', s_name FROM supplier),
+raw_edges AS (SELECT 'reg_' || n_regionkey AS s, 'nat_' || n_nationkey AS d, 'relevance' AS edge_type, 1.0::DOUBLE AS weight FROM nation UNION ALL SELECT 'nat_' || s_nationkey, 'sup_' || s_suppkey, 'hierarchical', 1.0 FROM supplier
 UNION ALL SELECT 'nat_' || n_nationkey, 'nat_' || ((n_nationkey + 1) % 25), 'similarity', 0.5 FROM nation), edges AS (SELECT least(s, d) AS src, greatest(s, d) AS dst, edge_type, weight FROM raw_edges)"""
 ADJ = "adj AS MATERIALIZED (SELECT src, dst, weight, edge_type FROM edges UNION ALL SELECT dst, src, weight, edge_type FROM edges WHERE src <> dst)"
 DEG = f"{ADJ}, deg AS MATERIALIZED (SELECT id, node_type, coalesce(n, 0)::BIGINT AS degree FROM nodes LEFT JOIN (SELECT src, count(*) AS n FROM adj GROUP BY src) ON src = id)"
@@ -284,6 +285,20 @@ def louvain(spark: SparkSession, sf: str) -> DataFrame:
     return community.louvain(place_graph(spark, sf))
 
 
+@query(f"""WITH RECURSIVE {G}, {COMP}, c AS (SELECT weight, a.component AS ca, b.component AS cb FROM edges JOIN comp a ON a.id = src JOIN comp b ON b.id = dst), m AS (SELECT sum(weight) AS m FROM edges),
+d AS (SELECT k, sum(w) AS d FROM (SELECT ca AS k, weight AS w FROM c UNION ALL SELECT cb, weight FROM c) GROUP BY k), i AS (SELECT ca AS k, sum(weight) AS i FROM c WHERE ca = cb GROUP BY ca),
+q AS (SELECT round(sum(coalesce(i, 0) / m - pow(d / (2 * m), 2)), 6) AS q FROM d LEFT JOIN i USING (k), m) SELECT count(*) AS nodes, count(*) AS covered, max(q) + 0.0 AS components_modularity, true AS no_worse, true AS named_by_least FROM nodes, q""")
+def louvain_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds for any good partition of the corpus graph: it covers each node once, is named by members, and is no worse than the connected components."""
+    g = corpus_graph(spark, sf)
+    found = lineage.checkpointed(community.louvain(g))
+    counts = g.nodes.select("id").join(found, "id", "left").agg(F.count("*").alias("nodes"), F.count("community").alias("covered"))
+    named = found.groupBy("community").agg(F.min("id").alias("least")).agg(F.bool_and(F.col("community") == F.col("least")).alias("named_by_least"))
+    base = community.modularity(g, g.components().select("id", F.col("component").alias("community"))).withColumnRenamed("modularity", "components_modularity")
+    both = counts.crossJoin(F.broadcast(named)).crossJoin(F.broadcast(base)).crossJoin(F.broadcast(community.modularity(g, found)))  # one row each
+    return both.select("nodes", "covered", "components_modularity", (F.col("modularity") >= F.col("components_modularity")).alias("no_worse"), "named_by_least")
+
+
 @query()
 def girvan_newman(spark: SparkSession, sf: str) -> DataFrame:
     return community.girvan_newman(place_graph(spark, sf), 10)

@@ -118,7 +118,7 @@ def scrape_status(spark: SparkSession, sf: str) -> DataFrame:
 ACCENTED, PLAIN = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ", "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
 
 
-@query(rf"SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(text), '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS nfc, translate(substr(text, 1, 300), '{ACCENTED}', '{PLAIN}') AS folded FROM documents")
+@query(rf"SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(text), '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS nfc, translate(text, '{ACCENTED}', '{PLAIN}') AS folded FROM documents")
 def normalize_unicode(spark: SparkSession, sf: str) -> DataFrame:
     nfc = tx.normalize_unicode("NFC", "space")
     return texts(spark, sf).select("doc_id", nfc("text").alias("nfc"), tx.fold_accents("text").alias("folded"))
