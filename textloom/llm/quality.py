@@ -10,8 +10,8 @@ distance (base 2, so 0 to 1):
   one further bin.
 
 References are grouped aggregates over all documents of a language: for the classes
-the median over documents of each class's share (a minority of junk moves it little),
-for words the summed counts. Every language of `min_reference_docs` documents or more has
+the median over documents of each class's share, from exact counts in steps of 1 / STEPS
+(a minority of junk moves it little, and partitioning not at all), for words the summed counts. Every language of `min_reference_docs` documents or more has
 its own; documents of a smaller or null language have too few of their kind to be judged by,
 so the base rules alone decide. The broadcast grows with the number of such languages,
 by classes + common words each.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, map_arrow
+from ._shared import as_bytes, discard, map_arrow, written
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL_BYTES = SYMBOLS.encode()
@@ -68,12 +68,13 @@ def _class_table() -> np.ndarray:
 
 
 CLASSES = 7
+STEPS = 2000
 _CLASS = _class_table()
 _PAD = re.compile(rb"^[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+$")
 
 
 def class_histogram(data: bytes) -> np.ndarray:
-    """Counts of the character classes."""
+    """Counts of the character classes; they sum to the text's code points."""
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     return np.bincount(_CLASS, weights=counts, minlength=CLASSES + 1)[:CLASSES]
 
@@ -143,35 +144,34 @@ def references(docs: DataFrame, params: QualityParams) -> dict[str, tuple[np.nda
     langs = [r[0] for r in docs.where("lang is not null").groupBy("lang").count().where(F.col("count") >= params.min_reference_docs).collect()]
     known = set(langs)
 
-    def shares(batches):
-        for b in batches:
-            keys, rows = [], []
-            for lang, data in zip(b.column("lang").to_pylist(), as_bytes(b.column("text")), strict=True):
-                if lang in known and len(data) >= params.min_chars:
-                    h = class_histogram(data)
-                    keys.append(lang)
-                    rows.append(h / h.sum())
-            cols = np.array(rows).reshape(-1, CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(cols[:, i]) for i in range(CLASSES))], ["key", *(f"c{i}" for i in range(CLASSES))])
-
     def count(batches):
+        """One pass: words, and for each class how many documents have which share, in steps of 1 / STEPS."""
         for b in batches:
-            words: dict = {}
+            found: Counter = Counter()
             for lang, data in zip(b.column("lang").to_pylist(), as_bytes(b.column("text")), strict=True):
-                if lang in known:
-                    words.setdefault(lang, Counter()).update(word_forms(data.split()))
-            rows = [(k, w, n) for k, c in words.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["key", "word", "n"])
+                if lang not in known:
+                    continue
+                found.update({(lang, -1, w): n for w, n in word_forms(data.split()).items()})
+                h = class_histogram(data)
+                if h.sum() >= params.min_chars:
+                    found.update((lang, i, b"%05d" % x) for i, x in enumerate((STEPS * h / h.sum()).astype(int).tolist()))
+            rows = [(*k, n) for k, n in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int8(), pa.binary(), pa.int64()))], ["key", "kind", "word", "n"])
+
+    passed = map_arrow(docs.select("lang", "text"), count, "key string, kind tinyint, word binary, n bigint")
+    counted = written(passed.groupBy("key", "kind", "word").agg(F.sum("n").alias("n")), "quality_counts")
+
+    # exact medians: at most STEPS + 1 rows a language and class
+    steps, of_class = counted.where("kind >= 0"), Window.partitionBy("key", "kind")
+    upto = steps.withColumn("upto", F.sum("n").over(of_class.orderBy("word"))).withColumn("all", F.sum("n").over(of_class))
+    medians = upto.where(2 * F.col("upto") >= F.col("all")).groupBy("key", "kind").agg(F.min("word").alias("word")).collect()
+    per_key: dict = {}
+    for r in medians:
+        per_key.setdefault(r["key"], np.zeros(CLASSES))[r["kind"]] = (int(r["word"]) + 0.5) / STEPS
 
-    d = docs.select("lang", "text")
-    medians = [F.percentile_approx(f"c{i}", 0.5, 1000).alias(f"c{i}") for i in range(CLASSES)]
-    sampled = map_arrow(d, shares, "key string, " + ", ".join(f"c{i} double" for i in range(CLASSES)))
-    per_key = {r["key"]: r for r in sampled.groupBy("key").agg(*medians).collect()}  # a row per language
-
-    counted = map_arrow(d, count, "key string, word binary, n bigint").groupBy("key", "word").agg(F.sum("n").alias("n"))
     # top words per language: per salt first, so that no window holds a language's vocabulary
     order = [F.desc("n"), F.asc("word")]
-    top = counted.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64)))
+    top = counted.where("kind < 0").withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64)))
     total = F.sum("n").over(Window.partitionBy("key", "salt"))
     top = top.withColumn("salt_total", total)
     for by in (["key", "salt"], ["key"]):
@@ -179,15 +179,12 @@ def references(docs: DataFrame, params: QualityParams) -> dict[str, tuple[np.nda
         if len(by) == 2:
             top = top.withColumn("key_total", F.sum(F.when(F.col("r") == 1, F.col("salt_total"))).over(Window.partitionBy("key")))
     rows = top.select("key", "word", "n", "key_total").collect()  # bounded: languages * common words
+    discard(counted)
 
     common: dict = {}
     for r in rows:
         common.setdefault(r["key"], ({}, r["key_total"]))[0][bytes(r["word"])] = r["n"]
-    return {lang: _reference(_shares(per_key.get(lang)), *common.get(lang, ({}, 0))) for lang in langs}
-
-
-def _shares(row) -> np.ndarray:
-    return np.array([(row[f"c{i}"] or 0.0) if row is not None else 0.0 for i in range(CLASSES)])
+    return {lang: _reference(per_key.get(lang, np.zeros(CLASSES)), *common.get(lang, ({}, 0))) for lang in langs}
 
 
 def _reference(classes: np.ndarray, words: dict[bytes, int], total: int):
@@ -201,8 +198,9 @@ def judge(data: bytes, lang: str | None, refs: dict, params: QualityParams) -> t
     n, chars, symbols, dup, repeat, words = measures(data, params.window)
     failed = n < params.min_words or 100 * repeat > params.max_repeat_percent * n
     class_d = word_d = None
-    if lang in refs and n >= params.min_judged_words and len(data) >= params.min_chars:
-        forms, shares = word_forms(words), class_histogram(data)
+    shares = class_histogram(data)
+    if lang in refs and n >= params.min_judged_words and shares.sum() >= params.min_chars:
+        forms = word_forms(words)
         classes, index, hist = refs[lang]
         own = np.zeros(len(hist))
         for w, k in forms.items():
