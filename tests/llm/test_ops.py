@@ -287,6 +287,37 @@ def test_decontamination(spark, docs, sf, texts):
     assert decontaminate.contained_items(docs, items.limit(0)).count() == 0
     small = decontaminate.Params(block_bytes=2000)
     assert decontaminate.contained_items(d, t, small).count() == len(want)
+    assert {r.doc_id for r in decontaminate.decontaminated(d, t.where("item_id < 900"), small).collect()} == set(sets) - {k for k, i in want if i < 900}
+    named = spark.createDataFrame([("", some[0][1]), (None, some[1][1]), ("b", some[0][1])], "item_id string, text string")
+    assert {r.item_id for r in decontaminate.contained_items(d.where("doc_id = 30000"), named).collect()} == {"", "b"}
+
+
+def test_decontamination_recall_in_long_documents():
+    """Items of every size inside documents a thousand times longer, with edits at the threshold: recall over 0.9, no false find."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30_000)]
+    items = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([5, 6, 8, 9, 12, 20, 36, 37, 70, 130, 260, 600] * 12)]
+    index, params = decontaminate.ItemIndex(items, decontaminate.Params()), decontaminate.Params()
+    hits = wanted = 0
+    for low in range(0, len(items), 12):
+        text = []
+        for _, t in items[low : low + 12]:
+            w = t.split()
+            if len(w) > 60:
+                for at in rng.sample(range(len(w)), len(w) // 45):
+                    w[at] = "other"
+            text += rng.choices(words, k=4000) + w
+        got = {r[0]: r[2] for r in index.search(" ".join(text))}
+        have = {tuple(text[i : i + 5]) for i in range(len(text) - 4)}
+        for i, t in items:
+            q = t.split()
+            s = {tuple(q[j : j + 5]) for j in range(len(q) - 4)}
+            if len(s & have) >= params.threshold * len(s):
+                wanted += 1
+                hits += got.get(i) == len(s & have)
+            else:
+                assert i not in got
+    assert wanted >= 130 and hits >= 0.99 * wanted
 
 
 # 7 licenses
@@ -484,6 +515,64 @@ def test_quality(spark, docs, texts):
     assert quality.quality_report(empty(docs)).count() == 0
 
 
+def test_quality_verdict_by_brute_force(spark, docs):
+    """References and verdicts computed anew, without numpy and without Spark."""
+    p, steps = quality.QualityParams(), quality.STEPS
+    rows = [(r.doc_id, r.text or "", r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+
+    def kind(c):
+        if c in "abcdefghijklmnopqrstuvwxyz0123456789":
+            return 0
+        return 1 if "A" <= c <= "Z" else 2 if ord(c) >= 128 else 3 if c in " \t\n\x0b\x0c\r" else 4 if c in ".,;:?'\"-()" else 6 if c in "#*$%&|<>" else 5
+
+    def forms(text):
+        marks = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+        words = (re.sub("[A-Z]", lambda m: m[0].lower(), w).strip(marks) for w in re.findall(r"[^\x20\x09-\x0D]+", text))
+        return Counter(w for w in words if w)
+
+    def shares(text):
+        n = Counter(map(kind, text))
+        return [n[i] / len(text) for i in range(7)]
+
+    def distance(a, b):
+        if not sum(a) or not sum(b):
+            return 0.0
+        a, b = [x / sum(a) for x in a], [x / sum(b) for x in b]
+        return sum(x / 2 * np.log2(2 * x / (x + y)) for u, v in ((a, b), (b, a)) for x, y in zip(u, v) if x > 0) ** 0.5
+
+    refs = {}
+    for lang, n in Counter(r[2] for r in rows if r[2]).items():
+        if n >= p.min_reference_docs:
+            texts = [t for _, t, x in rows if x == lang]
+            long = [shares(t) for t in texts if len(t) >= p.min_chars]
+            medians = [(sorted(int(steps * round(x[i], 12)) for x in long)[(len(long) - 1) // 2] + 0.5) / steps for i in range(7)]
+            counts = sum((forms(t) for t in texts), Counter())
+            common = sorted(counts, key=lambda w: (-counts[w], w.encode()))[: p.common_words]
+            refs[lang] = medians, common, [counts[w] for w in common] + [sum(counts.values()) - sum(counts[w] for w in common)]
+    assert len(refs) >= 2
+    got = {r.doc_id: r for r in quality.quality_report(docs).collect()}
+    judged = 0
+    for i, text, lang in rows:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        r = got[i]
+        if lang not in refs or n < p.min_judged_words or len(text) < p.min_chars:
+            assert r.class_distance is None and r.kept == (not r.base_failed)
+            continue
+        medians, common, hist = refs[lang]
+        own = forms(text)
+        c, w = distance(shares(text), medians), distance([own[x] for x in common] + [sum(own.values()) - sum(own[x] for x in common)], hist)
+        assert (r.class_distance, r.word_distance) == (pytest.approx(c, abs=1e-3), pytest.approx(w, abs=1e-9)), i
+        assert r.kept == (not r.base_failed and r.class_distance <= p.max_class_distance and r.word_distance <= p.max_word_distance)
+        judged += 1
+    assert judged > 100
+
+
+def test_quality_counts_characters(spark):
+    d = spark.createDataFrame([(i, "de", clean) for i, clean in enumerate(["Das ist ein ganz normaler Satz mit einigen Worten, der noch etwas weiter geht und dann endet, wie so viele andere Texte auch."] * 30)] + [(99, "de", "あ い う え お か き く け こ さ し す せ そ た ち つ て と な")], "doc_id bigint, lang string, text string")
+    got = {r.doc_id: r for r in quality.quality_report(d).collect()}
+    assert got[99].n_words == 21 and got[99].class_distance is None and got[99].kept  # 41 characters, 63 bytes of letters
+
+
 def test_quality_verdict_follows_labels(spark, sf):
     d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
     r = quality.quality_report(d).join(lab, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
