@@ -48,7 +48,7 @@ MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("PRIVATE KEY-----",)),
     Rule("vcs_token", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xox",)),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ",)),
+    Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,900}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ",)),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}", ("AIza",)),
     Rule("url_login", r"://[^/\s:@]{1,64}:[^/\s:@]{3,64}@", ("://",)),
 )
@@ -74,20 +74,32 @@ def _matches(text: Column, folded: Column, rule: Rule, group: int) -> Column:
     return F.when(hit, found)
 
 
+def _running(values: Column, zero: Column, merge) -> Column:
+    """The running merges of an array, itself included (merge must be associative, with `zero` neutral).
+
+    The array is cut into about sqrt(n) blocks of sqrt(n) values: each block is merged, then the blocks before each, then the values
+    before each in its block. So n values take n * sqrt(n) steps, and no array is grown value by value.
+    """
+    n = F.size(values)
+    block = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+    fold = lambda part: F.aggregate(part, zero, merge)
+    sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda j: fold(F.slice(values, j * block + 1, block)))
+    # one struct, so that what comes before a block is computed once for it
+    state = F.struct(values.alias("v"), sums.alias("s"), block.alias("b"))
+    blocks = F.transform(F.array(state), lambda c: F.transform(c["s"], lambda _, j: F.struct(F.aggregate(F.slice(c["s"], 1, j), zero, merge).alias("before"), F.slice(c["v"], j * c["b"] + 1, c["b"]).alias("own"))))
+    per = F.transform(blocks[0], lambda x: F.transform(x["own"], lambda _, i: merge(x["before"], F.aggregate(F.slice(x["own"], 1, i + 1), zero, merge))))
+    return F.when(n > 0, F.flatten(per)).otherwise(F.array().cast("array<int>"))
+
+
 def _rule_spans(order: int, rule: Rule) -> Column:
     """Spans from the columns m<order> (matches), g<order> (groups) and p<order> (pieces between the matches)."""
     empty = F.lit([]).cast(FINDINGS)
     m, g, pieces = F.col(f"m{order}"), F.col(f"g{order}" if rule.group else f"m{order}"), F.col(f"p{order}")
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(m)).alias("piece"), m.alias("match"), g.alias("grp"))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["match"])
-        span = F.array(F.struct(begin.alias("start"), F.lit(order).alias("kind_order"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(F.length(x["grp"]) >= rule.group_chars, F.concat(acc["found"], span)).otherwise(acc["found"]).alias("found"))
-
-    return F.when(F.size(m) > 0, F.aggregate(zipped, start, step, lambda acc: acc["found"])).otherwise(empty)
+    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(m)).alias("piece"), m.alias("match"))
+    ends = _running(F.transform(zipped, lambda x: F.length(x["piece"]) + F.length(x["match"])), F.lit(0), lambda x, y: x + y)
+    spans = F.zip_with(F.arrays_zip(m.alias("match"), g.alias("grp")), ends, lambda x, end: F.struct((end - F.length(x["match"])).alias("start"), F.lit(order).alias("kind_order"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.length(x["grp"]).alias("chars")))
+    kept = F.transform(F.filter(spans, lambda x: x["chars"] >= rule.group_chars), lambda x: x.dropFields("chars"))
+    return F.when(F.size(m) > 0, kept).otherwise(empty)
 
 
 def findings(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -130,8 +142,9 @@ def joined_spans(spans: Column) -> Column:
 def with_findings(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """rows with a column `blob` -> the same with `findings`; each blob is in the ledger, so a miss there has none."""
     hits = ledger.where(F.size("findings") > 0)
-    # counted first: beyond the bound both sides are shuffled
-    hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS // 10 else hits
+    # counted first, blobs and spans (about 60 bytes each): beyond the bound both sides are shuffled
+    n = hits.agg(F.count("*") + F.coalesce(F.sum(F.size("findings")), F.lit(0))).first()[0]
+    hits = F.broadcast(hits) if n <= BROADCAST_ROWS // 4 else hits
     return rows.join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", F.lit([]).cast(FINDINGS)))
 
 
@@ -152,6 +165,33 @@ def secret_scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Ru
     )
 
 
+# Code points of the pieces that a text is cut into, once, before spans are taken out.
+_PIECE = 4096
+
+
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """text with each run of overlapping spans (ordered by start) replaced by `mark`."""
+    reach = _running(F.transform(spans, lambda x: x["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
+    state = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), 0).alias("pieces"), F.transform(spans, lambda x: x["start"]).alias("starts"), reach.alias("reach"), F.length(text).alias("n"))
+
+    def cut(c: Column) -> Column:
+        # a span that begins at or after all ends before it begins a run, and what lies between stays
+        before = F.concat(F.array(F.lit(0)), F.slice(c["reach"], 1, F.size(c["reach"]) - 1))
+        runs = F.filter(F.arrays_zip(before.alias("a"), c["starts"].alias("b")), lambda x: x["b"] >= x["a"])
+        kept = F.concat(runs, F.array(F.struct(F.element_at(c["reach"], -1).alias("a"), c["n"].alias("b"))))
+        return F.array_join(F.transform(kept, lambda x: _between(c["pieces"], x["a"], x["b"])), mark)
+
+    return F.transform(F.array(state), cut)[0]
+
+
+def _between(pieces: Column, a: Column, b: Column) -> Column:
+    """Code points a to b (exclusive) of the text that the pieces make up."""
+    first, last = F.floor(a / _PIECE).cast("int"), F.floor((b - 1) / _PIECE).cast("int")
+    head, tail = F.get(pieces, first), F.get(pieces, last)
+    far = F.concat(F.substring(head, a % _PIECE + 1, F.lit(_PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(tail, F.lit(1), b - last * _PIECE))
+    return F.when(b <= a, "").when(first == last, F.substring(head, a % _PIECE + 1, b - a)).otherwise(far)
+
+
 def redact(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by `mark`; overlapping spans become one. Other texts are untouched; n_chars, if there, follows."""
     names = docs.columns
@@ -159,15 +199,7 @@ def redact(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, .
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
     rows = with_findings(docs.select(row, blob_of(F.col("text")).alias("blob")), ledger)
     text = F.col("row")["text"]
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    cut = F.aggregate("findings", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("findings") > 0, cut).otherwise(text)
-    rows = rows.withColumn("new_text", new)
+    rows = rows.withColumn("new_text", F.when(F.size("findings") > 0, _without(text, F.col("findings"), mark)).otherwise(text))
 
     def column(c: str) -> Column:
         if c == "text":
