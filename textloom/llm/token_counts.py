@@ -18,9 +18,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import as_texts, fresh_path, map_arrow
+from ._shared import BROADCAST_ROWS, as_texts, fresh_path, map_arrow, written
 from ._tokenize import file_digest, sentence_pieces
 
+# Copies from which a digest's count is broadcast (counted; about 60 bytes each) instead of shuffled to.
+HOT_COPIES = 64
+
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
 
 
@@ -51,4 +54,15 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str | None = None
     # two runs may append the same miss; both counts are equal
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     ids = d.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "content_digest")
-    return ids.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # a digest of many documents is one row, sent to every task; all others meet in the shuffle. A left join: no document can go missing.
+    hot = ids.groupBy("content_digest").agg(F.count("*").alias("copies")).where(F.col("copies") >= HOT_COPIES)
+    hot = written(hot.join(counts, "content_digest").select("content_digest", F.col("n_tokens").alias("hot_tokens")), "hot_digests")
+    n_hot = hot.count()
+    if 0 < n_hot <= BROADCAST_ROWS // 4:
+        ids = ids.join(F.broadcast(hot), "content_digest", "left")
+        # known rows get a key of their own, so that no task gets them all
+        key = F.when(F.col("hot_tokens").isNull(), F.col("content_digest")).otherwise(F.unhex(F.hex(F.xxhash64("doc_id"))))
+        ids = ids.withColumn("content_digest", key)
+    else:
+        ids = ids.withColumn("hot_tokens", F.lit(None).cast("bigint"))
+    return ids.join(counts, "content_digest", "left").withColumn("n_tokens", F.coalesce("hot_tokens", "n_tokens")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
