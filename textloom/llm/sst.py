@@ -30,15 +30,16 @@ import struct
 import zlib
 from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ._shared import as_texts, fresh_path, input_bytes, map_arrow
+from ._shared import BROADCAST_ROWS, as_texts, fresh_path, input_bytes, map_arrow
 from ._tokenize import word_bpe
 
 MAGIC = b"TLSST\x00\x00\x01"
@@ -78,6 +79,8 @@ class Writer:
         """ids: little-endian unsigned 32-bit."""
         if self.last and key <= self.last:
             raise ValueError("keys must ascend")
+        if self.width == 2 and len(ids) and np.frombuffer(ids, "<u4").max() > 0xFFFF:
+            raise ValueError("an id over 65535 needs a width of 4")
         value = struct.pack("<Q", self.tokens) + (np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.width == 2 else ids)
         shared = 0
         if self.block:
@@ -118,28 +121,34 @@ class Writer:
 
 
 class Reader:
-    """Looks documents up in a shard: Bloom filter, then binary search in the sparse index, then one block."""
+    """Looks documents up in a shard: Bloom filter, then binary search in the sparse index, then one block.
 
-    def __init__(self, data: bytes):
-        self.data = data
-        index_at, bloom_at, self.entries, self.tokens, self.width, version, magic = _FOOTER.unpack(data[-_FOOTER.size :])
+    The shard is given whole, or as read(offset, length) with its size: then the footer, the index, the filter and
+    single blocks are all that is read.
+    """
+
+    def __init__(self, data: bytes | Callable[[int, int], bytes], size: int | None = None):
+        self.read = (lambda at, n: data[at : at + n]) if isinstance(data, bytes) else data
+        size = len(data) if size is None else size
+        index_at, bloom_at, self.entries, self.tokens, self.width, version, magic = _FOOTER.unpack(self.read(size - _FOOTER.size, _FOOTER.size))
         if magic != MAGIC or version != 1:
             raise ValueError("not a shard of this format")
         self.first: list[bytes] = []
         self.blocks: list[tuple[int, int, int]] = []
-        at = index_at
-        while at < bloom_at:
-            n = data[at]
-            self.first.append(data[at + 1 : at + 1 + n])
-            self.blocks.append(_INDEX.unpack_from(data, at + 1 + n))
+        tail = self.read(index_at, size - _FOOTER.size - index_at)
+        at, bloom = 0, bloom_at - index_at
+        while at < bloom:
+            n = tail[at]
+            self.first.append(tail[at + 1 : at + 1 + n])
+            self.blocks.append(_INDEX.unpack_from(tail, at + 1 + n))
             at += 1 + n + _INDEX.size
-        self.bits, self.hashes = struct.unpack_from("<IB", data, bloom_at)
-        self.bitmap = data[bloom_at + 5 : -_FOOTER.size]
+        self.bits, self.hashes = struct.unpack_from("<IB", tail, bloom)
+        self.bitmap = tail[bloom + 5 :]
 
     def block(self, i: int) -> Iterator[tuple[bytes, int, bytes]]:
         """(key, first position in the shard, ids as unsigned 32-bit bytes) of one block."""
         at, n, crc = self.blocks[i]
-        data = self.data[at : at + n]
+        data = self.read(at, n)
         if zlib.crc32(data) != crc:
             raise ValueError("damaged block")
         at, key = 0, b""
@@ -192,12 +201,29 @@ def _put(uri: str, name: str, data: bytes) -> None:
     store.move(part, f"{path}/{name}")
 
 
-MANIFEST = "shard int, file string, entries bigint, tokens bigint, bytes bigint"
+def _opened(uri: str):
+    """A file for reads in any order."""
+    if "://" not in uri or uri.startswith("file:"):
+        return open(uri.removeprefix("file://").removeprefix("file:"), "rb")  # noqa: SIM115
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
+MANIFEST = "shard int, file string, entries bigint, tokens bigint, bytes bigint, first bigint, last bigint"
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, width: int = 2, shard_bytes: int = 16 << 20) -> DataFrame:
-    """Write docs(doc_id, text) as shards below `path`; returns the manifest, read back from `path`/manifest."""
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, width: int | None = None, shard_bytes: int = 16 << 20) -> DataFrame:
+    """Write docs(doc_id, text) as shards below `path`; returns the manifest, read back from `path`/manifest.
+
+    doc_id is an integer. width: bytes of an id; by default 2 if the vocabulary and end_id allow, else 4.
+    """
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer")
+    if width is None:
+        width = 2 if max(word_bpe(tokenizer_path).tok.get_vocab_size() - 1, end_id) <= 0xFFFF else 4
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs.select("doc_id", "text")) // shard_bytes))
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     d = d.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text").select("doc_id", "text")
@@ -216,7 +242,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if writer.keys:
             name, data = f"shard-{shard:08d}.sst", writer.finish()
             _put(files, name, data)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "entries": [writer.entries], "tokens": [writer.tokens], "bytes": [len(data)]}, pa.schema([("shard", pa.int32()), ("file", pa.string()), ("entries", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "entries": [writer.entries], "tokens": [writer.tokens], "bytes": [len(data)], "first": [key_document(writer.keys[0])], "last": [key_document(writer.keys[-1])]}, pa.schema([("shard", pa.int32()), ("file", pa.string()), *((c, pa.int64()) for c in ("entries", "tokens", "bytes", "first", "last"))]))
 
     map_arrow(d, run, MANIFEST).write.parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
@@ -247,6 +273,41 @@ def read_shards(spark: SparkSession, path: str, id_type: str = "bigint", with_id
     return joined.select(F.col("doc_id").cast(id_type).alias("doc_id"), (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
+def lookup(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """ids(doc_id) -> doc_id, ids (array<bigint>) of each entry of the distinct ids found in the shards below `path`.
+
+    An id goes to the shards whose range in the manifest holds it (a null id to those that begin with one); there the
+    footer, index and filter are read once, and of the data only the blocks that the filter and the index leave.
+    """
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("file", "bytes", "first", "last")
+    wanted = ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    inside = (F.col("doc_id").isNull() & F.col("first").isNull()) | ((F.col("doc_id") >= F.coalesce("first", F.lit(-(1 << 63)))) & (F.col("doc_id") <= F.col("last")))
+    # the manifest is a row per shard; it is what grows slowest here
+    placed = wanted.join(F.broadcast(manifest) if manifest.count() <= BROADCAST_ROWS // 10 else manifest, inside).repartition("file").sortWithinPartitions("file", "doc_id")
+
+    def run(batches):
+        name, reader, file = None, None, None
+        for b in batches:
+            docs, rows = [], []
+            for shard, size, doc in zip(*(b.column(c).to_pylist() for c in ("file", "bytes", "doc_id")), strict=True):
+                if shard != name:
+                    if file:
+                        file.close()
+                    name, file = shard, _opened(f"{path}/shards/{shard}")
+
+                    def read(at: int, n: int, file=file) -> bytes:
+                        file.seek(at)
+                        return file.read(n)
+
+                    reader = Reader(read, size)
+                for found in reader.get(doc):
+                    docs.append(doc)
+                    rows.append(found.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return map_arrow(placed.select("file", "bytes", "doc_id"), run, "doc_id bigint, ids array<bigint>")
+
+
 def token_table(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """Write the shards and read them back."""
     spark = docs.sparkSession
