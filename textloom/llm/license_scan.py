@@ -5,7 +5,7 @@ scripts' characters; every other ASCII character separates). A notice of k allow
 edits is split into k + 1 pieces; by the pigeonhole principle each match holds one
 piece unchanged. One Aho-Corasick pass over the space-joined words finds the pieces;
 around each hit the regex library's bounded-error matching ({e<=k}) verifies the
-notice and gives its span. Exact base phrases are counted beside it.
+notice and gives its span, reported in code points of the text itself. Exact base phrases are counted beside it.
 
 Edge cases. Null or empty text: 0 words, empty labels, null places, score 0.
 Overlapping hits of one notice are verified once per window; matches are
@@ -16,8 +16,9 @@ repeat results.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -55,7 +56,7 @@ def words_of(data: bytes) -> list[bytes]:
 class Match:
     label: str
     notice: str
-    start: int  # code points in the space-joined words
+    start: int  # code points; in the space-joined words as found, in the text as reported
     end: int
     edits: int
 
@@ -112,13 +113,29 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
     out = []
     for phrase, label in BASE.items():
         needle = b" " + phrase.encode() + b" "
-        at = joined.find(needle)
+        at, word, counted = joined.find(needle), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            word, counted = word + joined.count(b" ", counted, at), at
+            out.append((word, label))
             at = joined.find(needle, at + 1)
     return out
 
 
+def in_text(data: bytes, joined: str, places: list[int]) -> list[int]:
+    """Places in the space-joined words (ascending) as code points of the text."""
+    plain = np.frombuffer(data.lower().translate(_TO_SPACE), np.uint8)
+    words = plain != 32
+    begins = np.flatnonzero(words & ~np.concatenate([[False], words[:-1]]))
+    points = np.cumsum((plain & 0xC0) != 0x80) - 1  # code point of each byte
+    out, word, counted, start = [], 0, 0, 0
+    for at in places:
+        if n := joined.count(" ", counted, at):
+            word, start = word + n, joined.rindex(" ", counted, at) + 1
+        counted = max(counted, at)
+        out.append(int(points[begins[word]]) + at - start)
+    return out
+
+
 SPANS = "array<struct<label:string,notice:string,start:int,end:int,edits:int>>"
 SCHEMA = f"n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans {SPANS}"
 _SPAN = pa.list_(pa.struct([("label", pa.string()), ("notice", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
@@ -128,10 +145,15 @@ def scan(data: bytes, search: NoticeSearch) -> tuple:
     words = words_of(data)
     joined = b" ".join(words)
     places = base_places(b" " + joined + b" ")
-    matches = search.find(joined.decode("utf-8", "replace"))
+    text = joined.decode("utf-8", "replace")
+    matches = search.find(text)
     base = {label for _, label in places}
     score = 1.0 if places else max((1 - m.edits / len(m.notice) for m in matches), default=0.0)
     starts = [p for p, _ in places]
+    if matches:
+        at = sorted({x for m in matches for x in (m.start, m.end - 1)})
+        where = dict(zip(at, in_text(data, text, at), strict=True))
+        matches = [replace(m, start=where[m.start], end=where[m.end - 1] + 1) for m in matches]
     return (
         len(words), len(places), min(starts, default=None), max(starts, default=None),
         ",".join(sorted(base)), ",".join(sorted(base | {m.label for m in matches})), score,
@@ -140,7 +162,7 @@ def scan(data: bytes, search: NoticeSearch) -> tuple:
 
 
 def license_scan(docs: DataFrame, notices: dict[str, tuple[str, int]] = NOTICES) -> DataFrame:
-    """One row per row of docs(doc_id, text); spans are code points of the space-joined words."""
+    """One row per row of docs(doc_id, text); spans are code points of the text, end exclusive."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), _SPAN]

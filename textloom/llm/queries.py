@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, license_scan, ngram_join, packing, quality, secret_scan, sst, token_counts, url_filter
 from ._shared import table
@@ -41,7 +42,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+    found = license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["label"], x["start"].cast("string"), x["end"].cast("string"), x["edits"].cast("string"))), ","))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +90,21 @@ f AS (SELECT page_id, rule_host || rule_path AS rule, verdict, row_number() OVER
 SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, NULL::VARCHAR AS alias_of FROM h LEFT JOIN f ON f.page_id = h.page_id AND k = 1"""
 )
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _secret_sql(), "op2_url_filter": _URL_SQL}
+# Exact containment; the operator finds its candidates by MinHash and verifies the same measure.
+_CONTAINED_SQL = r"""WITH words AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark),
+w AS (SELECT side, id, list_filter(string_split_regex(lower(text), '[\x00-\x2f\x3a-\x60\x7b-\x7f\x{2010}-\x{2027}\x{ab}\x{bb}\x{a0}]+'), lambda x: x <> '') AS w FROM words WHERE text IS NOT NULL),
+b AS (SELECT id AS item_id, w, least(5, len(w)) AS k FROM w WHERE side = 'b' AND len(w) > 0),
+it AS (SELECT row_number() OVER () AS r, item_id, k, list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM b),
+g AS (SELECT r, item_id, k, len(s) AS n, unnest(s) AS g FROM it),
+d AS (SELECT DISTINCT id AS doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM w, (SELECT DISTINCT k FROM b) WHERE side = 'd' AND len(w) >= k)
+SELECT doc_id, item_id, floor(log2(n))::INT + 1 AS size_partition, count(*)::BIGINT AS n_shared, n::BIGINT AS n_item, count(*)::DOUBLE / n AS containment FROM g JOIN d USING (k, g) GROUP BY doc_id, r, item_id, n HAVING count(*) >= 0.8 * n - 1e-9"""
+
+# All pairs that share a shingle are counted, and reach follows the links.
+_JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0d]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - least(3, len(w)) + 2), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+g AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM s UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = r)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = s.doc_id) AS component_id FROM s"""
+
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _secret_sql(), "op2_url_filter": _URL_SQL, "op6_decontamination": _CONTAINED_SQL, "op9_ngram_join": _JACCARD_SQL}
