@@ -48,15 +48,45 @@ class Params:
     prior_strength: float = 10.0
 
 
-_DROP = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
+_OPEN = re.compile(r"(?i)<(script|style|noscript|template)\b|<!--")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*+>") for name in ("script", "style", "noscript", "template")} | {"": re.compile("-->")}
 _TAG = re.compile(r"<[^<>]*>")
-_HTML = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,8})")
+_HTML = re.compile(r"(?i)<html\b")
+_LANG = re.compile(r"(?i)\blang\s*+=\s*+[\"']?\s*+([a-z]{2,8})")
 _WORD = re.compile(r"[^\W\d_]+")
 WORD_ENTRIES = 300_000
 
 
+def without_scripts(html: str) -> str:
+    """html without scripts, styles and comments, from each opening to its nearest end. What is never closed stays; each kind is sought in vain once at most."""
+    out, at, open_ended = [], 0, set()
+    m = _OPEN.search(html)
+    while m:
+        name = (m[1] or "").lower()
+        end = None if name in open_ended else _CLOSE[name].search(html, m.end())
+        if end:
+            out += [html[at : m.start()], " "]
+            at = end.end()
+        else:
+            open_ended.add(name)
+        m = _OPEN.search(html, end.end() if end else m.end())
+    return "".join([*out, html[at:]])
+
+
+def declared_language(html: str) -> str | None:
+    """The lang of the first html tag that has one; each tag is read once."""
+    m = _HTML.search(html)
+    while m:
+        end = html.find(">", m.end())
+        end = len(html) if end < 0 else end
+        if lang := _LANG.search(html, m.end(), end):
+            return lang[1].lower()
+        m = _HTML.search(html, end)
+    return None
+
+
 def page_text(html: str) -> str:
-    return html_lib.unescape(_TAG.sub(" ", _DROP.sub(" ", html)))
+    return html_lib.unescape(_TAG.sub(" ", without_scripts(html)))
 
 
 def grams(word: str) -> list[str]:
@@ -109,13 +139,14 @@ def fit(labelled: DataFrame, params: Params = Params()) -> TextModel:
     langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     counts: dict[str, Counter] = {lang: Counter() for lang in langs}
     d = rows.where(F.octet_length("text") <= params.train_bytes)
-    # top rows by hash within salts, then overall: no window holds a language's documents
-    key = F.xxhash64("doc_id", F.lit(7))
-    ids = d.select("doc_id", "lang", key.alias("h"), F.pmod(key, F.lit(64)).alias("salt"))
+    # distinct rows, the first by hash within salts, then overall: no window holds a language's documents
+    key = F.xxhash64("doc_id", "text", F.lit(7))
+    keys = d.select("lang", key.alias("h")).distinct().withColumn("salt", F.pmod("h", F.lit(64)))
     for by in (["lang", "salt"], ["lang"]):
-        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("r") <= params.train_docs)
-    chosen = ids.select("doc_id").distinct()
-    for lang, text in d.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text").limit(params.train_docs * max(1, len(langs))).toLocalIterator():
+        keys = keys.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("r") <= params.train_docs)
+    chosen = F.broadcast(keys.select("lang", "h"))  # train_docs rows a language
+    sample = d.withColumn("h", key).join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    for lang, text in sample.select("lang", "text").toLocalIterator():
         for w, n in Counter(_WORD.findall(text.lower())).items():
             for g in grams(w):
                 counts[lang][g] += n
@@ -146,8 +177,7 @@ def identify(pages: DataFrame, model: TextModel, params: Params = Params()) -> D
         for b in batches:
             declared, words, ll = [], [], []
             for page in as_texts(b.column("html")):
-                tag = _HTML.search(page)
-                declared.append(tag[1].lower() if tag else None)
+                declared.append(declared_language(page))
                 k, v = m.text(page_text(page))
                 words.append(k)
                 ll.append((v * min(k, params.text_weight)).tolist())
