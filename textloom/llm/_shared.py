@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -41,13 +44,37 @@ def ship_package(spark: SparkSession) -> None:
     sc._textloom_shipped = True
 
 
+# Caches of Python workers, by name; each is emptied when a worker goes on to another operator.
+WORKER_CACHES: dict[str, dict] = {}
+_running: list[str] = [""]
+
+
+def _begin(operator: str) -> None:
+    """Workers outlive their tasks: what another operator has cached goes, and freed memory returns to the system."""
+    if _running[0] == operator:
+        return
+    _running[0] = operator
+    for cache in WORKER_CACHES.values():
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow in batches of at most BATCH_BYTES, so that long texts don't add up in a worker; a setting of the session's own stays."""
     spark = df.sparkSession
     ship_package(spark)
     if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    operator = f"{fn.__module__}.{fn.__qualname__}"
+
+    def run(batches):
+        _begin(operator)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

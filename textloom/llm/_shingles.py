@@ -7,7 +7,9 @@ import hashlib
 import numpy as np
 import xxhash
 
-WORD_ENTRIES = 250_000
+from ._shared import WORKER_CACHES
+
+WORD_ENTRIES = 150_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -21,6 +23,7 @@ class _Words(dict):
 
 
 _words = _Words()
+WORKER_CACHES["words"] = _words
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,6 +64,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted distinct arrays."""
     if len(a) > len(b):
         a, b = b, a
+    if not len(a):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
+    return int((b[at] == a).sum())

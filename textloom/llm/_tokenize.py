@@ -22,6 +22,8 @@ from array import array
 
 import numpy as np
 
+from ._shared import WORKER_CACHES
+
 CACHE_ENTRIES = 1_000_000
 PIECE_ENTRIES = 800_000
 CHUNK_ENTRIES = 500_000
@@ -41,6 +43,7 @@ def _byte_chars() -> list[str]:
 _BYTE_CHARS = _byte_chars()
 
 _ENCODERS: dict = {}
+WORKER_CACHES["encoders"] = _ENCODERS
 
 
 class WordBpe:
