@@ -108,7 +108,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and ids (array<int>) if asked for. sequence_id is the split's number times
-    2^32 plus the window's number in it.
+    2^32 plus the window's number in it, so a run over other splits names (and fills) sequences otherwise.
     """
     end = array("I", [end_id]).tobytes()
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -4,7 +4,7 @@ Every version of every path is named by the SHA-256 of its content (null: empty)
 The ledger holds (blob, rule_version, findings); a scan joins the distinct blobs to
 it, runs the rules on the unseen (blob, rule version) pairs alone, appends their findings
 (also empty ones) and joins findings back to all paths. A changed rule set has
-another version, so its blobs count as unseen.
+another version, so its blobs count as unseen; the ledger is stored by rule version, and a run reads its own alone.
 
 A rule's matches are leftmost and non-overlapping. Their places come from the text
 split by the rule: the n-th match begins after n + 1 pieces and n matches, all counted
@@ -130,7 +130,7 @@ def scan_new(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RU
     seen = read_ledger(spark, ledger_path).where(F.col("rule_version") == version).select("blob")
     blobs = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     unseen = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left_anti")
-    findings(unseen, rules).select("blob", F.lit(version).alias("rule_version"), "findings").write.mode("append").parquet(ledger_path)
+    findings(unseen, rules).select("blob", F.lit(version).alias("rule_version"), "findings").write.mode("append").partitionBy("rule_version").parquet(ledger_path)
     # two runs that append the same blob append the same findings
     return read_ledger(spark, ledger_path).where(F.col("rule_version") == version).dropDuplicates(["blob"]).select("blob", "findings")
 

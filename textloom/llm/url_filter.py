@@ -70,6 +70,7 @@ def with_rule(urls: DataFrame, rules) -> DataFrame:
         rules = spark.createDataFrame(list(rules), "host string, path string, verdict string")
     places = urls.select("host", "path").distinct().withColumn("rule_host", F.explode(_suffixes(F.col("host"))))
     r = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.concat("host", "path").alias("rule"), "verdict")
+    r = F.broadcast(r) if r.count() <= BROADCAST_ROWS // 10 else r  # so that a host suffix of very many urls meets its rules where it is
     hits = places.join(r, "rule_host").where(F.startswith("path", "rule_path"))
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), (F.col("verdict") == "allow").cast("int").alias("allow"), "rule", "verdict")).alias("best"))
     return urls.join(best, ["host", "path"], "left")
@@ -128,6 +129,8 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     carried = members.groupBy("component").agg(F.max((F.col("best")["verdict"] == "allow").cast("int")).alias("allowed"), F.max((F.col("best")["verdict"] == "block").cast("int")).alias("blocked"))
     aliases = parts.join(carried, "component").select("node", F.col("component").alias("alias_of"), F.when(F.col("allowed") == 1, "allow").when(F.col("blocked") == 1, "block").alias("carried"))
     small = parts.count() <= BROADCAST_ROWS // 10
+    # urls without a node have no alias; they get keys of their own, so that no task gets them all
+    judged = judged.withColumn("node", F.coalesce("node", F.concat(F.lit(":"), F.xxhash64("page_id").cast("string"))))
     return judged.join(F.broadcast(aliases) if small else aliases, "node", "left").select(
         "page_id", "host", "path", F.col("best")["rule"].alias("rule"), F.coalesce(F.col("best")["verdict"], "carried", F.lit("allow")).alias("verdict"), "alias_of"
     )
