@@ -25,7 +25,6 @@ import numpy as np
 from ._shared import WORKER_CACHES
 
 CACHE_ENTRIES = 1_000_000
-PIECE_ENTRIES = 800_000
 CHUNK_ENTRIES = 500_000
 # A longer chunk is encoded without being kept; the word BPE keeps short chunks
 # only, since long ones rarely come again and their pieces are kept.
@@ -68,7 +67,6 @@ class WordBpe:
             self.model._resize_cache(0)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cuttable = self._pieces_agree()
-        self.pieces = _Pieces(self._model)
         self.chunks = _Chunks(self)
 
     def _pieces_agree(self) -> bool:
@@ -89,29 +87,13 @@ class WordBpe:
     def encode(self, text: str) -> bytes:
         if not self.cuttable:
             return self.whole([text])[0]
-        if len(self.pieces) > PIECE_ENTRIES:
-            self.pieces.clear()
         if len(self.chunks) > CHUNK_ENTRIES:
             self.chunks.clear()
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-class _Pieces(dict):
-    """Model ids by pre-tokenized piece, made on the first use."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
-        if len(piece) <= CACHE_CHUNK:
-            self[piece] = ids
-        return ids
-
-
 class _Chunks(dict):
-    """Ids by chunk between spaces, made of its pieces on the first use."""
+    """Ids by chunk between spaces, made of its pieces on the first use. A piece, as a chunk, is its own only piece, so both share the entries."""
 
     def __init__(self, owner: WordBpe):
         super().__init__()
@@ -122,10 +104,14 @@ class _Chunks(dict):
         if not chunk:
             return b""
         if not o._PLAIN.fullmatch(chunk) or ("<" in chunk and any(s in chunk for s in o.special)):
-            ids = o.whole([chunk])[0]
+            ids, most = o.whole([chunk])[0], CHUNK_CHARS
         else:
-            ids = b"".join(map(o.pieces.__getitem__, o._PIECES.findall(chunk.lower())))
-        if len(chunk) <= CHUNK_CHARS:
+            pieces = o._PIECES.findall(chunk.lower())
+            if len(pieces) == 1 and pieces[0] == chunk:
+                ids, most = o._model(chunk), CACHE_CHUNK
+            else:
+                ids, most = b"".join(map(self.__getitem__, pieces)), CHUNK_CHARS
+        if len(chunk) <= most:
             self[chunk] = ids
         return ids
 
