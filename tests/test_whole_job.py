@@ -105,3 +105,47 @@ def test_louvain_in_one_task_and_on_tables(spark):
     assert set(far) == set(ids) and far["lone"] == "lone" and all(far[c] == c for c in far.values())
     assert community.modularity(g, spark.createDataFrame(list(far.items()), "id string, community string")).first()[0] > 0.5
     assert community.louvain(Graph(nodes, g.edges.limit(0))).where("id <> community").count() == 0
+
+
+def test_process_fields_and_sections(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.operators import pages
+
+    long = "Voto: " + "uma frase. " * 30_000
+    texts = {
+        1: "Relator: Des. João Silva \nÓrgão: 2ª Câmara Cível: primeira\nClasse: Apelação (x)\nData: 01/02/2023\nApelante: Maria\nAPELADO Banco\nempréstimo CONSIGNADO",
+        2: "EMENTA: " + ("direito civil e contratos. " * 4).strip() + ". fim\n\nDiante do exposto, julgo. " + "Condeno o banco ao pagamento de custas e honorários. " * 2,
+        3: long,
+        4: "x" * 101 + "\n\n short \n\n " + "y" * 5000,
+        5: "",
+        6: None,
+    }
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pages.process_fields(d).collect()}
+    assert (got[1].relator, got[1].classe_judicial, got[1].data_publicacao, got[1].autor, got[1].reu, got[1].assunto_principal) == ("Des. João Silva", "Classe: Apelação", "01/02/2023", "Maria", "Banco", "Empréstimo Consignado")
+    assert got[1].orgao_julgador == "primeira" and set(got[6].asDict().values()) == {6, None}
+    rows = {(r.doc_id, r.ordem): (r.tipo, r.content) for r in pages.content_sections(d).collect()}
+    assert rows[2, 1] == ("ementa", ("direito civil e contratos. " * 4).strip()[:-1]) and rows[2, 2][0] == "dispositivo" and rows[2, 2][1].startswith("Condeno")
+    assert rows[3, 1] == ("voto", ("uma frase. " * 300)[:3000]) and (3, 2) not in rows
+    assert [(rows[4, i][0], len(rows[4, i][1])) for i in (1, 2)] == [("paragrafo_1", 101), ("paragrafo_2", 3000)]
+    assert {i for i, _ in rows} == {2, 3, 4}
+    kept = spark.createDataFrame([(list(range(25)),), ([1],), (None,)], "a array<int>").select(pages.last_contexts(F.col("a"))).collect()
+    assert [r[0] for r in kept] == [list(range(15, 25)), [1], None]
+
+
+def test_metrics_and_metadata_are_written(spark, tmp_path):
+    import json
+
+    from textloom.operators import community, export
+    from textloom.operators.graph import Graph
+
+    nodes = spark.createDataFrame([("a", "document", "A"), ("b", "document", "B"), ("c", "section", "C")], "id string, node_type string, label string")
+    edges = spark.createDataFrame([("e1", "a", "b", "similarity", 0.8), ("e2", "a", "c", "hierarchical", 1.0)], "id string, src string, dst string, edge_type string, weight double")
+    g = Graph(nodes, edges)
+    out = community.write_metrics(g, str(tmp_path / "metrics"))
+    assert set(out) == set(community.all_metrics(g)) and spark.read.json(out["basic"]).count() == 1
+    row = json.loads(export.graph_metadata(g, "tests", 3, {"k": 5}, ("began", "ended")).first()[0])
+    assert row["schema_version"] == "1.0" and row["corpus_size"] == 3 and json.loads(row["configuration"]) == {"k": 5} and row["processing_log"] == ["began", "ended"] and row["statistics"]["n_nodes"] == 3
+    types = {(r.community, r.node_type): r.n for r in community.community_types(g, nodes.selectExpr("id", "'x' community")).collect()}
+    assert types == {("x", "document"): 2, ("x", "section"): 1}

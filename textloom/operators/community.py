@@ -246,6 +246,20 @@ def community_profile(g: Graph, partition: DataFrame, top: int = 5) -> DataFrame
     return per.join(inside, "community", "left").join(outside, "community", "left").select("community", "size", m.alias("inside"), F.coalesce("outside", F.lit(0)).alias("outside"), F.round(F.when(n > 1, 2 * m / (n * (n - 1))).otherwise(F.lit(0.0)), 6).alias("density"), "avg_degree", "top_nodes")
 
 
+def community_types(g: Graph, partition: DataFrame) -> DataFrame:
+    """community, node_type, n: the nodes of each type in each community."""
+    return g.nodes.select("id", "node_type").join(partition.select("id", "community"), "id").groupBy("community", "node_type").agg(F.count("*").alias("n"))
+
+
+def write_metrics(g: Graph, path: str) -> dict[str, str]:
+    """The bundle of metric frames, each as JSON lines below `path`."""
+    out = {}
+    for name, frame in all_metrics(g).items():
+        out[name] = f"{path}/{name}"
+        frame.write.mode("overwrite").json(out[name])
+    return out
+
+
 def all_metrics(g: Graph) -> dict[str, DataFrame]:
     """The bundle of metric frames, lazily."""
     from . import graph as gr

@@ -42,19 +42,63 @@ def paragraphs(docs: DataFrame, min_chars: int = 100, at_most: int = 10, cut: in
     return docs.select("doc_id", F.posexplode(p).alias("i", "p")).select("doc_id", (F.col("i") + 1).alias("ordem"), F.substring("p", 1, cut).alias("content"))
 
 
-SECTION_PATTERNS = (("ementa", r"(?s)EMENTA[:\s]+(.*?)(?=RELAT|VOTO|DECIS|$)"), ("relatorio", r"(?s)RELAT[ÓO]RIO[:\s]+(.*?)(?=VOTO|DECIS|DISPOSITIVO|$)"), ("voto", r"(?s)VOTO[:\s]+(.*?)(?=DISPOSITIVO|ACORD|$)"), ("dispositivo", r"(?s)DISPOSITIVO[:\s]+(.*?)$"))
-
-
-def content_sections(docs: DataFrame, patterns=SECTION_PATTERNS, min_chars: int = 50, cut: int = 3000) -> DataFrame:
-    """Sections by ordered patterns (over min_chars, cut, with ordinal); paragraphs where none matches."""
-    found = F.filter(
-        F.array(*(F.struct(F.lit(t).alias("tipo"), F.substring(F.trim(F.regexp_extract("text", p, 1)), 1, cut).alias("content")) for t, p in patterns)),
-        lambda s: F.length(s["content"]) > min_chars,
-    )
-    d = docs.withColumn("_found", found)
-    typed = d.where(F.size("_found") > 0).select("doc_id", F.posexplode("_found").alias("i", "s")).select("doc_id", (F.col("i") + 1).alias("ordem"), F.col("s.tipo").alias("tipo"), F.col("s.content").alias("content"))
-    plain = paragraphs(d.where(F.coalesce(F.size("_found"), F.lit(0)) == 0)).select("doc_id", "ordem", F.lit("paragrafo").alias("tipo"), "content")
-    return typed.unionByName(plain)
+# The fields of a process page, each with its patterns in order and the group that counts.
+FIELD_PATTERNS = {
+    "relator": ((r"relator:?\s*([^\n]+)", 1), (r"des\.?\s*([^\n]+)", 1), (r"desembargador\s+([^\n]+)", 1)),
+    "orgao_julgador": ((r"câmara[^:]*:?\s*([^\n]+)", 1), (r"turma[^:]*:?\s*([^\n]+)", 1), (r"(\d+ª\s*câmara[^,\n]*)", 1)),
+    "classe_judicial": ((r"classe:?\s*([^\n\(]+)", 0), (r"apelação\s+cível", 0), (r"agravo\s+de\s+instrumento", 0)),
+    "data_publicacao": ((r"publicação:?\s*(\d{2}/\d{2}/\d{4})", 1), (r"data:?\s*(\d{2}/\d{2}/\d{4})", 1)),
+    "autor": ((r"apelante:?\s*([^\n]+)", 1),),
+    "reu": ((r"apelado:?\s*([^\n]+)", 1),),
+}
+SUBJECTS = (("empréstimo consignado", "Empréstimo Consignado"), ("consignado", "Consignado"))
+
+# How each section of a decision begins; it goes on to an empty sentence or the end.
+SECTION_HEADS = (
+    ("ementa", r"ementa[:\s]*"),
+    ("relatório", r"relatório[:\s]*"),
+    ("voto", r"voto[:\s]*"),
+    ("decisão", r"decisão[:\s]*"),
+    ("fundamentos", r"(?:fundament|razões)[^:]*[:\s]*"),
+    ("dispositivo", r"(?:diante|pelo)\s+exposto[^\.]*\."),
+)
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+
+
+def process_fields(docs: DataFrame, patterns=FIELD_PATTERNS, subjects=SUBJECTS, cut: int = 200) -> DataFrame:
+    """doc_id and the fields of docs(doc_id, text): of the first pattern that matches its group, stripped and cut; else null."""
+    text, low = F.col("text"), F.lower("text")
+
+    def field(ways) -> Column:
+        return F.coalesce(*(F.when(text.rlike(f"(?iu){p}"), F.substring(_stripped(F.regexp_extract(text, f"(?iu){p}", group)), 1, cut)) for p, group in ways))
+
+    subject = F.coalesce(*(F.when(F.contains(low, F.lit(word)), F.lit(name)) for word, name in subjects))
+    return docs.select("doc_id", *(field(ways).alias(name) for name, ways in patterns.items()), subject.alias("assunto_principal"))
+
+
+def content_sections(docs: DataFrame, heads=SECTION_HEADS, min_chars: int = 50, cut: int = 3000) -> DataFrame:
+    """doc_id, ordem, tipo, content: sections by their heads (over min_chars, cut, with ordinal); large paragraphs where none is found."""
+
+    def section(head: str) -> Column:
+        # up to the first empty sentence, without the last full stop: no repeated group, whose matching would go as deep as a text has sentences
+        rest = F.regexp_extract("text", rf"(?isu){head}([^.].*)", 1)
+        return _stripped(F.regexp_replace(F.substring_index(rest, "..", 1), r"\.\z", ""))
+
+    listed = F.array(*(F.struct(F.lit(t).alias("tipo"), section(h).alias("content")) for t, h in heads))
+    found = F.filter(listed, lambda s: F.length(s["content"]) > min_chars)
+    large = F.slice(F.filter(F.transform(F.split("text", "\n\n"), _stripped), lambda x: F.length(x) > 100), 1, 10)
+    plain = F.transform(large, lambda x, i: F.struct(F.concat(F.lit("paragrafo_"), (i + 1).cast("string")).alias("tipo"), x.alias("content")))
+    # the sections once, then which of the two lists a document has
+    d = docs.select("doc_id", found.alias("found"), plain.alias("plain")).select("doc_id", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.col("plain"))).alias("i", "s"))
+    return d.select("doc_id", (F.col("i") + 1).alias("ordem"), F.col("s.tipo").alias("tipo"), F.substring("s.content", 1, cut).alias("content"))
+
+
+def last_contexts(contexts: Column, keep: int = 10) -> Column:
+    """The last `keep` of a list of contexts; the whole list if it is shorter."""
+    return F.when(F.size(contexts) > keep, F.slice(contexts, -keep, keep)).otherwise(contexts)
 
 
 def scrape_status(pages: DataFrame, cached_urls: DataFrame, stored_numbers: DataFrame) -> DataFrame:

@@ -265,7 +265,9 @@ def pagerank(spark: SparkSession, sf: str) -> DataFrame:
     return rank.pagerank(place_graph(spark, sf), iterations=20).select("id", *r6("rank"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {P}, {ADJ}, e AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT src, dst FROM adj) UNION ALL SELECT id, id FROM nodes), n AS (SELECT count(*)::DOUBLE AS n FROM nodes),
+it AS (SELECT id, 1.0::DOUBLE / n AS x, 0 AS i FROM nodes, n UNION ALL SELECT id, x / sqrt(sum(x * x) OVER ()), i FROM (SELECT e.dst AS id, sum(it.x) AS x, it.i + 1 AS i FROM it JOIN e ON e.src = it.id WHERE it.i < 100 GROUP BY e.dst, it.i)),
+c AS (SELECT a.i, sum(abs(a.x - b.x)) AS c FROM it a JOIN it b ON a.id = b.id AND a.i = b.i + 1 GROUP BY a.i), stop AS (SELECT min(i) AS i FROM c, n WHERE c < n * 1e-6) SELECT nodes.id, coalesce(round(x, 6), 0.0) AS centrality FROM nodes LEFT JOIN (SELECT id, x FROM it JOIN stop USING (i)) t USING (id)""")
 def eigenvector(spark: SparkSession, sf: str) -> DataFrame:
     return rank.eigenvector(place_graph(spark, sf)).select("id", *r6("centrality"))
 
@@ -327,6 +329,12 @@ def community_profile(spark: SparkSession, sf: str) -> DataFrame:
     return community.community_profile(g, _partition(g))
 
 
+@query(f"WITH {G}, {PART} SELECT community, node_type, count(*) AS n FROM nodes JOIN part_of USING (id) GROUP BY community, node_type")
+def community_types(spark: SparkSession, sf: str) -> DataFrame:
+    g = corpus_graph(spark, sf)
+    return community.community_types(g, _partition(g))
+
+
 @query(f"WITH {G}, {ADJ}, r AS (SELECT src, dst, round(weight, 6) AS weight, row_number() OVER (PARTITION BY src ORDER BY round(weight, 6) DESC, dst)::INT AS rank FROM adj WHERE edge_type = 'similarity') SELECT * FROM r WHERE rank <= 3")
 def graph_doc_similar(spark: SparkSession, sf: str) -> DataFrame:
     return gr.document_neighbours(corpus_graph(spark, sf), 3)

@@ -107,6 +107,31 @@ def page_sections(spark: SparkSession, sf: str) -> DataFrame:
     return pages.paragraphs(texts(spark, sf))
 
 
+def _field_sql(name: str) -> str:
+    ways = "".join(f" WHEN regexp_matches(text, '(?i){p}') THEN substr(regexp_replace(regexp_extract(text, '(?i){p}', {g}), '^\\s+|\\s+\\z', '', 'g'), 1, 200)" for p, g in pages.FIELD_PATTERNS[name])
+    return f"CASE{ways} END AS {name}"
+
+
+@query(f"SELECT doc_id, {', '.join(map(_field_sql, pages.FIELD_PATTERNS))}, CASE WHEN contains(lower(text), 'empréstimo consignado') THEN 'Empréstimo Consignado' WHEN contains(lower(text), 'consignado') THEN 'Consignado' END AS assunto_principal FROM documents")
+def process_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.process_fields(texts(spark, sf))
+
+
+# The whole pattern of a section: sentences up to an empty one.
+_SECTION_SQL = ", ".join(f"{{'tipo': '{t}', 'content': regexp_replace(regexp_extract(text, '(?is){h}([^\\.]+(?:\\.[^\\.]+)*)', 1), '^\\s+|\\s+\\z', '', 'g')}}" for t, h in pages.SECTION_HEADS)
+
+
+@query(f"""WITH s AS (SELECT doc_id, list_filter([{_SECTION_SQL}], lambda x: length(x.content) > 50) AS found, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+\\z', '', 'g')), lambda x: length(x) > 100)[1:10] AS large FROM documents)
+SELECT doc_id, i::INT AS ordem, CASE WHEN len(found) > 0 THEN found[i].tipo ELSE 'paragrafo_' || i END AS tipo, substr(CASE WHEN len(found) > 0 THEN found[i].content ELSE large[i] END, 1, 3000) AS content FROM s, unnest(range(1, CASE WHEN len(found) > 0 THEN len(found) ELSE len(large) END + 1)) t(i)""")
+def content_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.content_sections(texts(spark, sf))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[-10:], '|') AS contexts FROM documents")
+def last_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    return texts(spark, sf).select("doc_id", F.array_join(pages.last_contexts(F.split("text", "\n", -1)), "|").alias("contexts"))
+
+
 @query(r"""SELECT page_id, CASE WHEN md5(url) IN (SELECT md5(url) FROM pages WHERE page_id % 7 = 0) THEN 'already_processed' WHEN 'processo_' || page_id IN (SELECT 'processo_' || page_id FROM pages WHERE page_id % 5 = 0) THEN 'already_exists'
 WHEN length(trim(coalesce(html, ''))) <= 100 THEN 'error' ELSE 'success' END AS status FROM pages""")
 def scrape_status(spark: SparkSession, sf: str) -> DataFrame:
