@@ -9,7 +9,10 @@ VALIDATION_LEVELS = ("basic", "comprehensive", "strict")
 
 @dataclass(frozen=True)
 class GraphConfig:
-    """Every limit is honoured by the build; None switches it off.
+    """Thresholds and limits of a build; None switches a limit off.
+
+    The build reads all but section_similarity, entity_similarity, max_section_edges, max_hierarchical_edges (it makes document vectors
+    alone and keeps every section), chunk_size (Spark deals the rows) and statuses (for relational.load_processes); callers can.
 
     normalization: 'NFC' (default), 'NFKC' or 'NFKD'. drop_controls='space' turns
     line breaks into spaces; 'delete' removes them with all control characters.
