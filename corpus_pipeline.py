@@ -13,6 +13,9 @@ from textloom.llm import decontaminate, ngram_join, packing, quality, secret_sca
 from textloom.llm._shared import table, written
 from textloom.llm.queries import tokenizer
 
+# Chunks that a worker keeps in sequence_packing: the executor's heap is still as large as the stages before have left it.
+PACKING_CACHE = 60_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go.
@@ -53,7 +56,7 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A null or empty text is the end id alone; repeated rows are packed each; an empty table gives no pieces.
     """
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"), size=2048, end_id=1)
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), size=2048, end_id=1, cache_entries=PACKING_CACHE)
 
 
 STAGES = [

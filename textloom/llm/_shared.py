@@ -56,7 +56,16 @@ def _begin(operator: str) -> None:
     _running[0] = operator
     for cache in WORKER_CACHES.values():
         cache.clear()
+    release()
+
+
+def release() -> None:
+    """Garbage goes, and freed memory of this process returns to the system."""
     gc.collect()
+    _trim()
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
@@ -72,7 +81,10 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def run(batches):
         _begin(operator)
-        yield from fn(batches)
+        try:
+            yield from fn(batches)
+        finally:  # an idle worker counts too
+            _trim()
 
     return df.mapInArrow(run, schema)
 

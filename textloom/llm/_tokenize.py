@@ -22,7 +22,7 @@ from array import array
 
 import numpy as np
 
-from ._shared import WORKER_CACHES
+from ._shared import WORKER_CACHES, release
 
 CACHE_ENTRIES = 1_000_000
 CHUNK_ENTRIES = 500_000
@@ -57,7 +57,7 @@ class WordBpe:
     _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CHUNK_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -66,6 +66,7 @@ class WordBpe:
         if hasattr(self.model, "_resize_cache"):  # the caches below are the ones in use
             self.model._resize_cache(0)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.entries = entries
         self.cuttable = self._pieces_agree()
         self.chunks = _Chunks(self)
 
@@ -87,8 +88,6 @@ class WordBpe:
     def encode(self, text: str) -> bytes:
         if not self.cuttable:
             return self.whole([text])[0]
-        if len(self.chunks) > CHUNK_ENTRIES:
-            self.chunks.clear()
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -112,6 +111,8 @@ class _Chunks(dict):
             else:
                 ids, most = b"".join(map(self.__getitem__, pieces)), CHUNK_CHARS
         if len(chunk) <= most:
+            if len(self) >= o.entries:  # also within one long text
+                self.clear()
             self[chunk] = ids
         return ids
 
@@ -165,9 +166,12 @@ class SentencePieceCounter:
         return sum([new[c] if n is None else n for c, n in zip(chunks, got, strict=True)])
 
 
-def word_bpe(path: str) -> WordBpe:
+def word_bpe(path: str, entries: int = CHUNK_ENTRIES) -> WordBpe:
+    """The worker's encoder, which keeps at most so many chunks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordBpe(path)
+        release()  # what reading the file took
+    _ENCODERS[path].entries = entries
     return _ENCODERS[path]
 
 

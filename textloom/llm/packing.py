@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ._shared import as_texts, map_arrow
-from ._tokenize import word_bpe
+from ._tokenize import CHUNK_ENTRIES, word_bpe
 
 # doc, start, ids (bytes), doc_tokens
 Piece = tuple[object, int, bytes, int]
@@ -103,18 +103,19 @@ class SumOfSquares:
 SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, with_ids: bool = False, cache_entries: int = CHUNK_ENTRIES) -> DataFrame:
     """One row per piece of docs(doc_id, text).
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and ids (array<int>) if asked for. sequence_id is the split's number times
     2^32 plus the window's number in it, so a run over other splits names (and fills) sequences otherwise.
+    cache_entries bounds the chunks whose ids a worker keeps: fewer take less memory and more time, the result is the same.
     """
     end = array("I", [end_id]).tobytes()
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder = word_bpe(tokenizer_path)
+        encoder = word_bpe(tokenizer_path, cache_entries)
         packer = SumOfSquares(size)
         next_id = TaskContext.get().partitionId() << 32
         out: list[tuple] = []
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
             at = 0
             for doc, start, ids, total in window:
                 n = len(ids) // 4
-                out.append((doc, start, n, zlib.crc32(ids), total, next_id, at, ids))
+                out.append((doc, start, n, zlib.crc32(ids), total, next_id, at, ids if with_ids else None))
                 at += n
             next_id += 1
 
