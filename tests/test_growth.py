@@ -2,7 +2,7 @@
 
 import pytest
 
-from textloom.operators import paths
+from textloom.operators import community, paths
 from textloom.operators.graph import Graph
 
 
@@ -54,3 +54,14 @@ def test_all_pairs_of_hung_nodes_pass_through_no_search(spark, star_ring, monkey
     assert near == pytest.approx({v: (len(d) - 1) / max(1, sum(d.values())) * (len(d) - 1) / (n - 1) for v, d in want.items()})
     far = [d for s in want for v, d in want[s].items() if "r0" in want[s] and v != s]
     assert tuple(paths.path_summary(g).first()) == (max(far), round(sum(far) / len(far), 6))
+
+
+def test_girvan_newman_is_not_bounded_by_a_node_count(spark, star_ring, monkeypatch):
+    g, _, ids = star_ring
+    got = {r.id: r.community for r in community.girvan_newman(g, 6).collect()}
+    assert set(got) == ids and len(set(got.values())) == 6
+    # the ring is cut first; then the least edge of the largest star goes
+    alone = [v for v in ids if got[v] == v and list(got.values()).count(v) == 1]
+    assert {"lone", "x0"} <= set(alone) and got["x3"] == "r0" and got["x1"] == "r1" and got["p1"] == "p0"
+    monkeypatch.setattr(community, "LOCAL_SOURCES", 0)
+    assert {r.id: r.community for r in community.girvan_newman(g, 6).collect()} == got

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import checkpointed
 from .graph import Graph
-from .paths import betweenness
+from .paths import Hung, betweenness
 from .rank import pagerank
 
 
@@ -176,58 +176,109 @@ def _level(edges: DataFrame, max_rounds: int) -> DataFrame | None:
     return checkpointed(lab.join(least, "c").select("v", F.col("least").alias("c")))
 
 
-def girvan_newman(g: Graph, communities: int = 10, max_nodes: int = 300) -> DataFrame:
-    """id, community: the edge of highest betweenness is removed until the graph falls into that many parts.
+# Core nodes up to which the driver counts shortest paths itself; larger cores are dealt out by sources.
+LOCAL_SOURCES = 300
 
-    Each removal needs all shortest paths again, so the operator is bounded to max_nodes nodes.
+
+def girvan_newman(g: Graph, communities: int = 10) -> DataFrame:
+    """id, community: the edge of highest betweenness is removed (ties: the least) until the graph falls into that many parts.
+
+    Each removal needs the shortest paths of the part it splits again. They are counted on Hung's core: a core node stands for
+    itself and the nodes hung on it, and the edge of a hung node lies on the paths between that node and all others. The
+    driver holds the core's links; of the hung nodes it holds the numbers and the first few that could be cut off.
     """
-    n = g.nodes.count()
-    if n > max_nodes:
-        raise ValueError(f"{n} nodes: bounded to {max_nodes}")
-    ids = [r[0] for r in g.nodes.select("id").orderBy("id").collect()]
-    links = {tuple(sorted(r)) for r in g.edges.where("src <> dst").select("src", "dst").collect()}
-    adj: dict = {v: set() for v in ids}
-    for a, b in links:
-        adj[a].add(b)
-        adj[b].add(a)
-
-    def parts() -> list[list]:
-        left, out = set(ids), []
-        while left:
-            stack, got = [min(left)], set()
-            while stack:
-                v = stack.pop()
-                if v not in got:
-                    got.add(v)
-                    stack.extend(adj[v] - got)
-            out.append(sorted(got))
-            left -= got
-        return out
-
-    while len(found := parts()) < communities and any(adj.values()):
-        score: dict = {}
-        for s in ids:
-            dist, sigma, order = {s: 0}, {s: 1.0}, [s]
-            for v in order:
-                for w in sorted(adj[v]):
-                    if w not in dist:
-                        dist[w] = dist[v] + 1
-                        sigma[w] = 0.0
-                        order.append(w)
-                    if dist[w] == dist[v] + 1:
-                        sigma[w] += sigma[v]
-            delta = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in adj[w]:
-                    if dist[v] == dist[w] - 1:
-                        c = sigma[v] / sigma[w] * (1 + delta[w])
-                        delta[v] += c
-                        key = (v, w) if v < w else (w, v)
-                        score[key] = score.get(key, 0.0) + c
-        a, b = min(score, key=lambda x: (-round(score[x], 9), x))
-        adj[a].discard(b)
-        adj[b].discard(a)
-    return g.spark.createDataFrame([(v, p[0]) for p in found for v in p], "id string, community string")
+    h = Hung(g)
+    hung = h.places.where("up = 1").select("id", "anchor", F.least("id", "anchor").alias("a"), F.greatest("id", "anchor").alias("b"))
+    leaves = {r["anchor"]: r["n"] for r in hung.groupBy("anchor").agg(F.count("*").alias("n")).collect()}
+    # each cut of a hung node makes a part, so no anchor loses more than that many
+    first = hung.withColumn("r", F.row_number().over(Window.partitionBy("anchor").orderBy("a", "b"))).where(F.col("r") <= communities)
+    loose: dict = {}
+    for r in first.orderBy("anchor", "r").collect():
+        loose.setdefault(r["anchor"], []).append((r["a"], r["b"], r["id"]))
+    adj: dict = {v: set() for v in leaves}
+    for a, b in h.links.collect():
+        adj.setdefault(a, set()).add(b)
+    alone = h.places.where("up = 0 and known = 1").count() - len(adj)
+
+    def part(v, seen: set) -> list:
+        stack, got = [v], set()
+        while stack:
+            v = stack.pop()
+            if v not in got:
+                got.add(v)
+                stack.extend(adj[v] - got)
+        seen |= got
+        return sorted(got)
+
+    def best(nodes: list):
+        """(-score, edge, hung node or None) of the part's edge to go, or None."""
+        size = sum(1 + leaves.get(v, 0) for v in nodes)
+        found = [((-_digits(2.0 * (size - 1)), loose[v][0][:2]), loose[v][0][2], v) for v in nodes if loose.get(v)]
+        score = _edge_scores(g.spark, {v: adj[v] for v in nodes}, {v: 1 + leaves.get(v, 0) for v in nodes})
+        found += [((-_digits(x), e), None, None) for e, x in score.items()]
+        return min(found, key=lambda x: x[0]) if found else None
+
+    seen: set = set()
+    parts = [(p, best(p)) for v in sorted(adj) if v not in seen for p in [part(v, seen)]]
+    cut: list = []
+    while alone + len(cut) + len(parts) < communities and any(b for _, b in parts):
+        i = min((i for i, (_, b) in enumerate(parts) if b), key=lambda i: parts[i][1][0])
+        nodes, ((_, (a, b)), leaf, anchor) = parts.pop(i)
+        if leaf is not None:
+            loose[anchor].pop(0)
+            leaves[anchor] -= 1
+            cut.append(leaf)
+        else:
+            adj[a].discard(b)
+            adj[b].discard(a)
+        seen = set()
+        parts += [(p, best(p)) for v in nodes if v not in seen for p in [part(v, seen)]]
+    of = g.spark.createDataFrame([(v, p[0]) for p, _ in parts for v in p] or [("", "")], "anchor string, c string")
+    out = g.spark.createDataFrame([(v,) for v in cut] or [(None,)], "id string").withColumn("cut", F.lit(True))
+    at = checkpointed(h.places.join(F.broadcast(out), "id", "left").join(of, "anchor", "left").select("id", "known", F.when(F.col("cut"), F.col("id")).otherwise(F.coalesce("c", "id")).alias("c")))
+    return at.where("known = 1").select("id", "c").join(at.groupBy("c").agg(F.min("id").alias("community")), "c").select("id", "community")
+
+
+def _digits(x: float) -> float:
+    """Twelve digits of a score: sums of paths in another order still tie."""
+    return float(f"{x:.11e}")
+
+
+def _edge_scores(spark, adj: dict, weight: dict) -> dict:
+    """(a, b) -> paths between all pairs that take the edge, over ordered pairs; a node stands for weight[v] nodes."""
+    sources = sorted(adj)
+    if len(sources) <= LOCAL_SOURCES:
+        return _path_counts(adj, weight, sources)
+    near, sc = spark.sparkContext.broadcast((adj, weight)), spark.sparkContext
+    try:
+        some = sc.parallelize(sources, 4 * sc.defaultParallelism).mapPartitions(lambda s: _path_counts(*near.value, list(s)).items())
+        return dict(some.reduceByKey(lambda x, y: x + y).collect())
+    finally:
+        near.unpersist()
+
+
+def _path_counts(adj: dict, weight: dict, sources: list) -> dict:
+    """Brandes' accumulation on edges from the given sources."""
+    score: dict = {}
+    for s in sources:
+        dist, sigma, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for w in sorted(adj[v]):
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    sigma[w] = 0.0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in adj[w]:
+                if dist[v] == dist[w] - 1:
+                    c = sigma[v] / sigma[w] * (weight[w] + delta[w])
+                    delta[v] += c
+                    key = (v, w) if v < w else (w, v)
+                    score[key] = score.get(key, 0.0) + weight[s] * c
+    return score
 
 
 def community_profile(g: Graph, partition: DataFrame, top: int = 5) -> DataFrame:
@@ -238,8 +289,6 @@ def community_profile(g: Graph, partition: DataFrame, top: int = 5) -> DataFrame
     cross = e.where("cs <> cd")
     outside = cross.select(F.col("cs").alias("community")).unionAll(cross.select(F.col("cd").alias("community"))).groupBy("community").agg(F.count("*").alias("outside"))
     d = g.degrees().select("id", "degree").join(p, "id")
-    from pyspark.sql import Window
-
     ranked = d.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("degree"), "id")))
     per = ranked.groupBy("community").agg(F.count("*").alias("size"), F.round(F.avg("degree"), 6).alias("avg_degree"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= top, F.struct("r", "id")))), lambda s: s["id"]), ",").alias("top_nodes"))
     n, m = F.col("size"), F.coalesce(F.col("inside"), F.lit(0))
