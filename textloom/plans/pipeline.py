@@ -80,7 +80,7 @@ def build(docs: DataFrame, config: GraphConfig | None = None, dictionary: DataFr
         vectors = vc.tfidf_svd(clean).select(F.col("doc_id").alias("id"), "vector")
     steps["embeddings"] = vectors is not None
     if vectors is not None:
-        pairs = vc.top_neighbours(vc.similarity_pairs(vectors, config.document_similarity), config.max_similarity_edges, config.similarity_mode)
+        pairs = vc.nearest_pairs(vectors, config.document_similarity, config.max_similarity_edges, config.similarity_mode)
         edges.append(gr.make_edges(pairs, "similarity", F.concat(F.lit("doc_"), F.col("a")), F.concat(F.lit("doc_"), F.col("b")), F.col("score"), "sim"))
     ids = concepts.select("term", F.col("id").alias("concept"))
     rel = vc.relevance(clean, found, config.relevance_threshold, config.max_relevance_edges).join(F.broadcast(ids), "term")
