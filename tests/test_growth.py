@@ -65,3 +65,82 @@ def test_girvan_newman_is_not_bounded_by_a_node_count(spark, star_ring, monkeypa
     assert {"lone", "x0"} <= set(alone) and got["x3"] == "r0" and got["x1"] == "r1" and got["p1"] == "p0"
     monkeypatch.setattr(community, "LOCAL_SOURCES", 0)
     assert {r.id: r.community for r in community.girvan_newman(g, 6).collect()} == got
+
+
+@pytest.fixture(scope="module")
+def both_forms(spark):
+    """A graph of 260 vectors in three groups, some without one, and the same graph with its edges as rows."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from textloom.operators import similar
+    from textloom.operators.graph import make_edges
+    from textloom.operators.similar_graph import SimilarGraph
+
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(8)], i % 3) for i in range(260)] + [(260, [0.0] * 8, 1), (261, None, 2)]
+    doc, con = (lambda c: F.concat(F.lit("doc_"), c)), (lambda c: F.concat(F.lit("con_"), c))
+    v = spark.createDataFrame(rows, "id bigint, vector array<float>, g int")
+    nodes = spark.createDataFrame([(f"doc_{i}", "document", "d") for i, _, _ in rows] + [(f"con_{i}", "concept", "c") for i in range(3)], "id string, node_type string, label string")
+
+    def links(groups):
+        return make_edges(v, "relevance", doc("id"), con("g"), F.lit(0.5)).unionByName(make_edges(groups.where("g1 < g2"), "cooccurrence", con("g1"), con("g2"), F.col("n") / 10))
+
+    old = similar.BLOCK_ROWS, similar.TRIPLE_ROWS
+    similar.BLOCK_ROWS, similar.TRIPLE_ROWS = 70, 90
+    try:
+        g = SimilarGraph(nodes, links, v, 0.5, doc, con)
+        yield g, Graph(nodes, spark.createDataFrame(g.edges.collect(), g.edges.schema))
+    finally:
+        similar.BLOCK_ROWS, similar.TRIPLE_ROWS = old
+
+
+def close(a, b):
+    key = lambda r: [str(round(x, 9)) if isinstance(x, float) else str(x) for x in r]
+    a, b = sorted(map(tuple, a), key=key), sorted(map(tuple, b), key=key)
+    assert len(a) == len(b)
+    for x, y in zip(a, b, strict=True):
+        assert list(x) == [pytest.approx(v, abs=2e-6) if isinstance(v, float) else v for v in y]
+
+
+def test_a_similarity_graph_gives_what_its_rows_give(spark, both_forms):
+    from pyspark.sql import functions as F
+
+    from textloom.operators import export
+    from textloom.operators import graph as gr
+
+    g, rows = both_forms
+    n = rows.edges.where("edge_type = 'similarity'").count()
+    assert n > 1000 and g.all_pairs().first()["n"] == n
+    for f in (gr.statistics, gr.node_type_analysis, gr.edge_type_analysis, gr.type_connectivity, gr.clustering, gr.assortativity, gr.hub_profile, gr.document_neighbours, gr.validate_graph, gr.degree_centrality, export.d3_links):
+        close(f(g).collect(), f(rows).collect())
+    close(g.components().collect(), rows.components().collect())
+    close(export.similarity_network(g, 0.8).nodes.select("id").collect(), export.similarity_network(rows, 0.8).nodes.select("id").collect())
+    close(g.of_type("document").edges.select("src", "dst").collect(), rows.of_type("document").edges.select("src", "dst").collect())
+    part = rows.nodes.select("id", F.concat(F.lit("c"), F.length("id")).alias("community"))
+    close(community.modularity(g, part).collect(), community.modularity(rows, part).collect())
+    close(community.community_profile(g, part).collect(), community.community_profile(rows, part).collect())
+
+
+def test_no_pair_leaves_its_block_as_a_row(spark, both_forms, monkeypatch):
+    """The sums come without similarity_pairs(), which makes the rows."""
+    from textloom.operators import graph as gr
+    from textloom.operators import similar
+
+    monkeypatch.setattr(similar, "similarity_pairs", lambda *a: pytest.fail("pairs as rows"))
+    g, _ = both_forms
+    for f in (gr.statistics, gr.node_type_analysis, gr.clustering_summary, gr.assortativity, gr.hub_profile, gr.document_neighbours, gr.validate_graph, gr.recommendations):
+        assert f(g).collect()
+
+
+def test_scores_are_counted_and_ranked_in_their_blocks(spark, both_forms):
+    from textloom.operators import similar, vectors
+
+    g, rows = both_forms
+    v = g.vectors.select("id", "vector")
+    sims = similar.similarity_pairs(v, 0.5)
+    close(similar.distribution(v, 0.5).collect(), vectors.distribution(sims).collect())
+    for mode in ("lower_id", "mutual", "union"):
+        close(vectors.nearest_pairs(v, 0.5, 4, mode).collect(), vectors.top_neighbours(sims, 4, mode).collect())
+    assert similar.top_pairs(v, 0.5, 4).count() < 2 * sims.count()
