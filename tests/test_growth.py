@@ -144,3 +144,41 @@ def test_scores_are_counted_and_ranked_in_their_blocks(spark, both_forms):
     for mode in ("lower_id", "mutual", "union"):
         close(vectors.nearest_pairs(v, 0.5, 4, mode).collect(), vectors.top_neighbours(sims, 4, mode).collect())
     assert similar.top_pairs(v, 0.5, 4).count() < 2 * sims.count()
+
+
+def test_top_candidates_count_few_grams(spark, monkeypatch):
+    """The same rows as counting every gram, from the grams that can be among them; and where nothing can be pruned."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from textloom.operators import concepts, grams
+
+    rnd = random.Random(1)
+    words = [f"word{i}" for i in range(400)] + ["the", "of"]
+    rows = [(i, " ".join(rnd.choices(words, [1 / (k + 1) for k in range(len(words))], k=rnd.randint(0, 60)))) for i in range(400)] + [(400, None), (401, " \n "), (402, "One, ONE word0-x word0")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    counted, counts = [], grams._counts
+    monkeypatch.setattr(grams, "_counts", lambda *a: counted.append(counts(*a)) or counted[-1])
+    for strict in (False, True):
+        every = concepts.candidate_counts(d, strict=strict)
+        want = [tuple(r) for r in every.orderBy(F.desc("total"), "gram").limit(20).collect()]
+        assert [tuple(r) for r in concepts.top_candidates(d, 20, strict).collect()] == want
+        assert counted.pop().count() < every.count() / 20
+    monkeypatch.setattr(grams, "COMMON_WORDS", 3)
+    assert [tuple(r) for r in concepts.top_candidates(d, 20, True).collect()] == want
+    monkeypatch.setattr(grams, "MOST_WORDS", 5)
+    counted.clear()
+    assert [tuple(r) for r in concepts.top_candidates(d, 20, True).collect()] == want and not counted
+
+
+def test_terms_are_found_without_exploding_the_texts(spark, monkeypatch):
+    from textloom.operators import concepts
+
+    d = spark.createDataFrame([(1, "A b a B c"), (2, None), (3, ""), (4, "c"), (5, "b c a b")], "doc_id bigint, text string")
+    t = concepts.dictionary(spark, ("a", "a b", "b c a", "x"))
+    monkeypatch.setattr(concepts, "BROADCAST_TERMS", -1)
+    want = sorted(map(tuple, concepts.occurrences(d, t).collect()))
+    monkeypatch.setattr(concepts, "BROADCAST_TERMS", 100)
+    monkeypatch.setattr(concepts, "ngrams", lambda *a: pytest.fail("every n-gram as a row"))
+    assert sorted(map(tuple, concepts.occurrences(d, t).collect())) == want and len(want) == 7

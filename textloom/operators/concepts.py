@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.dictionaries import CATEGORIES, STOP_WORDS, all_concepts
+from . import grams
 
 # A dictionary up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_TERMS = 200_000
@@ -35,6 +36,11 @@ def words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", w.alias("w")).withColumn("n", F.size("w"))
 
 
+def normal(docs: DataFrame) -> DataFrame:
+    """doc_id, text: the words as words() reads them, joined by single spaces."""
+    return docs.select("doc_id", tx.window_text("text").alias("text"))
+
+
 def ngrams(d: DataFrame, low: int, high: int) -> DataFrame:
     """words() -> doc_id, n, pos (from 0), size, gram: all n-grams of low to high words."""
     empty = F.array().cast("array<struct<pos:int,size:int,gram:string>>")
@@ -43,8 +49,8 @@ def ngrams(d: DataFrame, low: int, high: int) -> DataFrame:
         places = F.sequence(F.lit(0), F.col("n") - k)
         return F.when(F.col("n") >= k, F.transform(places, lambda i: F.struct(i.alias("pos"), F.lit(k).alias("size"), F.concat_ws(" ", *(F.get("w", i + j) for j in range(k))).alias("gram")))).otherwise(empty)
 
-    grams = F.concat(*(of_size(k) for k in range(low, high + 1)))
-    return d.select("doc_id", "n", F.explode(grams).alias("g")).select("doc_id", "n", "g.pos", "g.size", "g.gram")
+    every = F.concat(*(of_size(k) for k in range(low, high + 1)))
+    return d.select("doc_id", "n", F.explode(every).alias("g")).select("doc_id", "n", "g.pos", "g.size", "g.gram")
 
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -53,6 +59,10 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     if not stats[0]:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, pos int, size int, term string")
     t = terms.select("term")
+    if stats[0] <= BROADCAST_TERMS:
+        listed = [r["term"] for r in t.collect()]
+        if len(set(listed)) == len(listed) and None not in listed:
+            return grams.occurrences(normal(docs), listed)
     return ngrams(words(docs), stats[2], stats[1]).withColumnRenamed("gram", "term").join(small(t, stats[0]), "term").select("doc_id", "n", "pos", "size", "term")
 
 
@@ -95,6 +105,14 @@ def candidate_counts(docs: DataFrame, low: int = 2, high: int = 4, strict: bool
     return per.groupBy("gram").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
 
 
+def top_candidates(docs: DataFrame, top: int, strict: bool = False, stop=STOP_WORDS) -> DataFrame:
+    """The rows of candidate_counts() of greatest total (ties by gram), in that order."""
+    fits = strict_candidate("gram", stop) if strict else candidate("gram", stop)
+    counts = grams.frequent(normal(docs), top, 4, fits)
+    counts = candidate_counts(docs, strict=strict, stop=stop) if counts is None else counts.where(fits)
+    return counts.orderBy(F.desc("total"), "gram").limit(top)
+
+
 # Words that raise or lower a concept's confidence.
 LEGAL_WORDS = r"(?i)direito|lei|código|processo|recurso|sentença|contrato|dano|juros|banco"
 GENERIC_WORDS = r"(?i)^(?:caso|forma|parte|vez|dia|ano|valor|meio)(?: |$)"
@@ -169,7 +187,7 @@ def concept_table(docs: DataFrame, terms: DataFrame, max_candidates: int = 500,
     )
     if not discovered:
         return known
-    new = discover(docs, candidate_counts(docs), max_candidates=max_candidates, **thresholds).join(terms.select(F.col("term").alias("gram")), "gram", "left_anti")
+    new = discover(docs, top_candidates(docs, max_candidates), max_candidates=max_candidates, **thresholds).join(terms.select(F.col("term").alias("gram")), "gram", "left_anti")
     found = new.select(
         tx.normalize_concept("gram").alias("termo"), F.col("gram").alias("termo_original"), category_of(F.col("gram"), categories).alias("categoria"), F.col("total").alias("frequencia"), F.col("df").alias("frequencia_documentos"),
         F.col("tfidf").alias("score_tfidf"), F.col("confidence").alias("confianca"), F.lit(False).alias("predefinido"),
