@@ -182,3 +182,16 @@ def test_terms_are_found_without_exploding_the_texts(spark, monkeypatch):
     monkeypatch.setattr(concepts, "BROADCAST_TERMS", 100)
     monkeypatch.setattr(concepts, "ngrams", lambda *a: pytest.fail("every n-gram as a row"))
     assert sorted(map(tuple, concepts.occurrences(d, t).collect())) == want and len(want) == 7
+
+
+def test_singular_vectors_come_from_one_pass(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from textloom.operators import vectors
+
+    x = np.round(np.random.default_rng(2).normal(size=(60, 150)) * (np.random.default_rng(3).random((60, 150)) < 0.2), 3)
+    rows = [(Vectors.dense(r) if i % 2 else Vectors.sparse(150, [(int(j), float(r[j])) for j in np.flatnonzero(r)]),) for i, r in enumerate(x)]
+    v = vectors.leading_vectors(spark.createDataFrame(rows, ["y"]).repartition(3), 150, 10)
+    want = np.linalg.svd(x)[2][:10].T
+    assert v.shape == (150, 10) and np.allclose(np.abs((v * want).sum(axis=0)), 1.0)
